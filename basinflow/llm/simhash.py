@@ -90,9 +90,9 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the smallest of its class; of repeated rows with that doc_id all stay. All columns stay."""
+    """The documents whose doc_id is the smallest of its class, or null if all are; rows that share it all stay. All columns stay."""
     groups = simhash_groups(docs)
-    ids = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    ids = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
 
 
