@@ -31,7 +31,8 @@ WORD_END = "</w>"
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
 #: Pieces between ASCII white space of up to so many bytes are remembered, so many at most.
-MEMO_BYTES, MEMO_PIECES = 64, 1 << 17
+MEMO_BYTES, MEMO_PIECES, MEMO_WORDS = 64, 1 << 19, 1 << 18
+SHORT_BYTES, NONE = 32, 1 << 40
 
 
 #: Contractions, runs of letters, single digits, runs of the rest; code points that only the newest Unicode assigns may differ.
@@ -75,7 +76,10 @@ class StreamingBpe:
         self.inner = [self.vocab[x] for x in self.letters]
         self.last = [self.vocab[x + WORD_END] for x in self.letters]
         self.lookahead = self._sufficient_lookahead()
+        self.ranks = {(a << 16) | b: rank for (a, b), (rank, _) in self.merges.items()}
+        self.results = {rank: whole for rank, whole in self.merges.values()}
         self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.words: dict[bytes, tuple[int, ...]] = {}
 
     def _sufficient_lookahead(self) -> int:
         """Bytes to the right of a token that can decide it, over all chains of earlier merges that could take its last part."""
@@ -130,11 +134,45 @@ class StreamingBpe:
         if n > at:
             yield from self._merge([*(self.inner[b] for b in data[at : n - 1]), self.last[data[n - 1]]])
 
-    def piece(self, text: str) -> Iterator[int]:
-        """Tokens of a text without special tokens: normalised to composed lower case, split into words."""
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        for match in WORD.finditer(text):
-            yield from self.word(match[0].encode())
+    def piece(self, raw: bytes) -> tuple[int, ...]:
+        """Tokens of what stands between white space: normalised to composed lower case, split into words."""
+        if raw.isalpha():  # letters of ASCII are one word as they are
+            return self.whole(raw.lower())
+        if (head := raw[:-1]).isalpha() and raw[-1:] in b".,!;?:":
+            return self.whole(head.lower()) + self.whole(raw[-1:])
+        text = unicodedata.normalize("NFC", raw.decode()).replace("Σ", "σ").lower()
+        words = [match[0].encode() for match in WORD.finditer(text)]
+        return self.whole(words[0]) if len(words) == 1 else tuple(chain.from_iterable(map(self.whole, words)))
+
+    def whole(self, word: bytes) -> tuple[int, ...]:
+        """Tokens of one word, remembered if short."""
+        ids = self.words.get(word)
+        if ids is None:
+            if len(word) <= SHORT_BYTES:
+                ids = self._merge_short([*map(self.inner.__getitem__, word[:-1]), self.last[word[-1]]])
+                if len(self.words) >= MEMO_WORDS:
+                    self.words.clear()
+                self.words[word] = ids
+            else:
+                ids = tuple(self.word(word))
+        return ids
+
+    def _merge_short(self, symbols: list[int]) -> tuple[int, ...]:
+        """As _merge, by looking for the lowest rank anew each time; equal ranks are equal pairs, taken from the left."""
+        get, none = self.ranks.get, NONE
+        ranks = [get((a << 16) | b, none) for a, b in zip(symbols, symbols[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == none:
+                break
+            i = ranks.index(least)
+            symbols[i] = self.results[least]
+            del symbols[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((symbols[i] << 16) | symbols[i + 1], none)
+            if i:
+                ranks[i - 1] = get((symbols[i - 1] << 16) | symbols[i], none)
+        return tuple(symbols)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text as unsigned 32-bit integers."""
@@ -144,15 +182,18 @@ class StreamingBpe:
         memo, at = self.memo, 0
         special = list(self.special_pattern.finditer(text)) if "<|" in text else []
         for match in [*special, None]:
-            for raw in text[at : match.start() if match else None].encode().split():
-                ids = memo.get(raw)
-                if ids is None:
-                    ids = tuple(self.piece(raw.decode()))
-                    if len(raw) <= MEMO_BYTES:
-                        if len(memo) >= MEMO_PIECES:
-                            memo.clear()
-                        memo[raw] = ids
-                parts.append(ids)
+            pieces = text[at : match.start() if match else None].encode().split()
+            known = list(map(memo.get, pieces))
+            if None in known:
+                for k, ids in enumerate(known):
+                    if ids is None:
+                        raw = pieces[k]
+                        known[k] = ids = memo.get(raw) or self.piece(raw)
+                        if len(raw) <= MEMO_BYTES:
+                            if len(memo) >= MEMO_PIECES:
+                                memo.clear()
+                            memo[raw] = ids
+            parts += known
             if match:
                 parts.append((self.special[match[0]],))
                 at = match.end()

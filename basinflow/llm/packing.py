@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.bpe import TOKENIZER, load, tokenizer_path
+from basinflow.llm.bpe import MEMO_WORDS, TOKENIZER, StreamingBpe, tokenizer_path
 from basinflow.llm.common import bounded_batches
 
 LENGTH, END = 4096, 2
@@ -32,6 +33,31 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 TASK_SEQUENCES = 1 << 36
 
 
+class LibraryWords(StreamingBpe):
+    """Token ids with the tokenizers library's merges for each word; words and pieces are remembered as in the base class."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.model = Tokenizer.from_file(path).model
+
+    def whole(self, word: bytes) -> tuple[int, ...]:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = tuple(t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word))))
+            if len(self.words) >= MEMO_WORDS:
+                self.words.clear()
+            self.words[word] = ids
+        return ids
+
+
+@lru_cache(maxsize=2)
+def load(path: str) -> LibraryWords:
+    """One for each Python worker."""
+    return LibraryWords(path)
+
+
 class Packer:
     """pack() and finish() yield rows as in SCHEMA, doc_id being whatever stands for the document."""
 
