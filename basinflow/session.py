@@ -29,3 +29,14 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{name}", "zip", root.parent, root.name)
     spark.sparkContext.addPyFile(archive)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; a temporary one only where none is set."""
+    import uuid
+
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        where = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(where)
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
