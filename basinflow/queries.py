@@ -430,10 +430,10 @@ query(
 )(lambda m: explore.correlation_matrix(m.flood_model().where("gage_height_ft_mean > 0"), CORR).withColumn("r", F.round("r", 6)))
 query(
     "site_distribution",
-    """select site_id, n, low, q[1] as q1, q[2] as median, q[3] as q3, high, round(q[1] - 1.5 * (q[3] - q[1]), 9) as lower_fence, round(q[3] + 1.5 * (q[3] - q[1]), 9) as upper_fence
+    """select site_id, n, low, q[1] as q1, q[2] as median, q[3] as q3, high, round(q[1] - 1.5 * (q[3] - q[1]), 12) as lower_fence, round(q[3] + 1.5 * (q[3] - q[1]), 12) as upper_fence
     from (select site_id, count(*) as n, min(gage_height_ft_mean) as low, max(gage_height_ft_mean) as high, quantile_cont(gage_height_ft_mean, [0.25, 0.5, 0.75]) as q from hours where gage_height_ft_mean is not null group by 1)""",
     hours=HOUR_SQL,
-)(lambda m: explore.site_distribution(marts.hourly_streamflow(m.staged("streamflow")), "gage_height_ft_mean").withColumns({c: F.round(c, 9) for c in ("lower_fence", "upper_fence")}))
+)(lambda m: explore.site_distribution(marts.hourly_streamflow(m.staged("streamflow")), "gage_height_ft_mean").withColumns({c: F.round(c, 12) for c in ("lower_fence", "upper_fence")}))
 query(
     "map_frames",
     """select site_id, latitude, longitude, strftime(observation_hour, '%Y-%m-%d %H:%M:%S') as frame, gage_height_ft_mean as value,
@@ -512,10 +512,10 @@ query("stratified_sample", "select event_id, event_type, value from events where
 query(
     "lag_features",
     """select site_id, observation_hour, gage_height_ft_mean, lag(gage_height_ft_mean, 1) over w as gage_height_ft_mean_lag_1, lag(gage_height_ft_mean, 2) over w as gage_height_ft_mean_lag_2,
-    lag(gage_height_ft_mean, 3) over w as gage_height_ft_mean_lag_3, round(avg(gage_height_ft_mean) over (partition by site_id order by observation_hour rows between 5 preceding and current row), 9) as gage_height_ft_mean_mean_6
+    lag(gage_height_ft_mean, 3) over w as gage_height_ft_mean_lag_3, round(avg(gage_height_ft_mean) over (partition by site_id order by observation_hour rows between 5 preceding and current row), 12) as gage_height_ft_mean_mean_6
     from hours window w as (partition by site_id order by observation_hour)""",
     hours=HOUR_SQL,
-)(lambda m: features.lag_features(marts.hourly_streamflow(m.staged("streamflow")), "site_id", "observation_hour", "gage_height_ft_mean").withColumn("gage_height_ft_mean_mean_6", F.round("gage_height_ft_mean_mean_6", 9)))
+)(lambda m: features.lag_features(marts.hourly_streamflow(m.staged("streamflow")), "site_id", "observation_hour", "gage_height_ft_mean").withColumn("gage_height_ft_mean_mean_6", F.round("gage_height_ft_mean_mean_6", 12)))
 query("inference_window", "select event_id, user_id, ts, value from events where ts > (select max(ts) from events) - interval 24 hour")(lambda m: features.last_hours(m.table("events").select("event_id", "user_id", "ts", "value"), "ts", 24))
 
 # Streaming: each runs to the end of what is there

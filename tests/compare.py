@@ -24,7 +24,7 @@ def value(x):
         return None
     if hasattr(x, "as_tuple"):
         return float(x)
-    return float(f"{x:.10g}") if isinstance(x, float) else x
+    return float(f"{x:.12g}") if isinstance(x, float) else x
 
 
 def rows(names, found) -> Counter:
