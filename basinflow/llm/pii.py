@@ -105,11 +105,18 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     pairs = around.select("entity", "n", F.explode(_words(F.col("near"))).alias("term")).groupBy("entity", "term")
     pairs = pairs.agg(F.sum("n").alias("n_et"), F.count("*").alias("ways")).where(F.col("ways") >= SUPPORT).drop("ways")
     pairs = materialize(pairs.join(entities.drop("ways"), "entity"))
+    if pairs.isEmpty():
+        return pairs.select("entity", "term")
+    # By the documents with personal data alone, common words already occur too often to disclose anything: n(t) is as large at
+    # least, and the threshold bounds it from above.
+    total = docs.count()
+    most = F.col("n_et") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - DISCLOSURE))
+    among = found.select(F.explode(_words(F.col("__text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_least"))
+    pairs = materialize(pairs.join(among, "term").where(F.col("n_least") <= most * (1 + 1e-9)).drop("n_least"))
     if pairs.isEmpty():
         return pairs.select("entity", "term")
     # Candidate terms are a stored table: it is broadcast only if its size is below Spark's threshold.
     wanted = materialize(pairs.select("term").distinct())
-    total = docs.count()
     seen = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     joined = pairs.join(seen, "term")
     share = lambda x: F.log2(F.lit(float(total)) / x)
