@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -86,8 +87,7 @@ def anchored_runs(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     inside = np.arange(len(owner)) - first[owner]
     chosen = least[begins[owner] + inside]
     cut = np.flatnonzero(np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1]))))
-    count = np.diff(np.append(cut, len(chosen)))
-    return owner[cut], inside[cut], count, h[(chosen[cut] & np.uint64(PLACE)).astype(np.int64)]
+    return owner[cut], inside[cut], np.diff(np.append(cut, len(chosen))), h[(chosen[cut] & np.uint64(PLACE)).astype(np.int64)]
 
 
 def text_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -95,8 +95,8 @@ def text_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
     held, owners, offsets, size = [], [], [], 0
 
     def scan():
-        piece, start, count, anchor = anchored_runs(held)
-        return np.array(owners, np.int64)[piece], start + np.array(offsets, np.int64)[piece], count, anchor
+        piece, start, windows, anchor = anchored_runs(held)
+        return np.array(owners, np.int64)[piece], start + np.array(offsets, np.int64)[piece], windows, anchor
 
     for k, text in enumerate(texts):
         for at in range(0, max(1, len(text) - LEAST + 1), SEGMENT):
@@ -158,23 +158,39 @@ def suffix_keys(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return owner, keys.view(f"S{LEAST + 1}").ravel()
 
 
-# Rows that move: a bucket, what they are, and arrays as bytes.
+# Rows that move: a bucket, what they are, and packed arrays.
 ENTRY, SETTLED = 0, 1
-MOVED = "bucket int, kind int, docs binary, anchors binary, starts binary, ends binary, marks binary, homes binary, strings binary"
+MOVED = "bucket int, kind int, docs binary, anchors binary, starts binary, lengths binary, marks binary, strings binary"
 FIELDS = [part.split()[0] for part in MOVED.split(", ")]
 TYPES = pa.schema([(n, pa.int32() if k < 2 else pa.binary()) for k, n in enumerate(FIELDS)])
+KINDS = {"docs": np.int64, "anchors": np.uint64, "starts": np.uint32, "lengths": np.uint32, "marks": np.int32}
 
 
-def _row(bucket: int, kind: int, docs, anchors=(), starts=(), ends=(), marks=(), homes=(), strings: bytes = b"") -> dict:
-    as_bytes = lambda x, t: np.asarray(x, t).tobytes()
-    return {
-        "bucket": bucket, "kind": kind, "docs": as_bytes(docs, np.int64), "anchors": as_bytes(anchors, np.uint64), "starts": as_bytes(starts, np.int64),
-        "ends": as_bytes(ends, np.int64), "marks": as_bytes(marks, np.int32), "homes": as_bytes(homes, np.int32), "strings": strings,
-    }
+def _pack(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
 
 
-def _column(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
+def _unpack(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True) if packed else b""
+
+
+def _row(bucket: int, kind: int, strings: bytes = b"", **arrays) -> dict:
+    """docs go as differences: in order, they are small."""
+    out = {"bucket": bucket, "kind": kind, "strings": _pack(strings)}
+    for name, kept in KINDS.items():
+        values = np.asarray(arrays.get(name, ()), kept)
+        out[name] = _pack((np.diff(values, prepend=0) if name == "docs" else values).tobytes())
+    return out
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    parts = [np.frombuffer(_unpack(x.as_py()), KINDS[name]) for x in table.column(name)]
+    parts = [np.cumsum(p) for p in parts] if name == "docs" else parts
+    return np.concatenate(parts) if parts else np.empty(0, KINDS[name])
+
+
+def _of_kind(table: pa.Table, kind: int) -> pa.Table:
+    return table.filter(pa.compute.equal(table.column("kind"), kind))
 
 
 def _split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -186,9 +202,15 @@ def _split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(keys[part[0]]), part
 
 
-def _text_marks(texts: list[bytes]) -> np.ndarray:
-    """Tells texts apart that share a doc_id."""
-    return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little", signed=True) for t in texts], np.int32)
+def _text_marks(ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Tells different texts apart that share a doc_id, by their order; 0 for a doc_id that has one. Its rows share a home."""
+    marks = np.zeros(len(ids), np.int32)
+    order = np.argsort(ids, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(ids[order])) + 1):
+        if len(rows) > 1:
+            rank = {text: k for k, text in enumerate(sorted({texts[i] for i in rows}))}
+            marks[rows] = [rank[texts[i]] for i in rows]
+    return marks
 
 
 def _ids(table) -> np.ndarray:
@@ -207,29 +229,30 @@ def _anchor_entries(buckets: int):
         held = 0
 
         def send() -> pa.RecordBatch:
-            anchors = np.concatenate([a for a, _, _ in found])
-            docs = np.concatenate([d for _, d, _ in found])
-            homes = np.concatenate([x for _, _, x in found])
+            anchors, docs = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((docs, anchors))
-            anchors, docs, homes = anchors[order], docs[order], homes[order]
+            anchors, docs = anchors[order], docs[order]
             keep = np.concatenate(([True], (anchors[1:] != anchors[:-1]) | (docs[1:] != docs[:-1])))
-            anchors, docs, homes = anchors[keep], docs[keep], homes[keep]
+            anchors, docs = anchors[keep], docs[keep]
             cut = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
-            many = np.diff(np.append(cut, len(anchors))) > 1
+            counts = np.diff(np.append(cut, len(anchors)))
+            cut = cut[np.argsort(docs[cut], kind="stable")]
+            many = np.zeros(len(anchors), bool)
+            many[np.repeat(np.sort(cut), counts)[np.repeat(counts > 1, counts)]] = True
             out = []
             for bucket, part in _split((anchors[cut] % np.uint64(buckets)).astype(np.int64)):
                 at = cut[part]
-                out.append(_row(bucket, ENTRY, docs[at], anchors[at], marks=many[part], homes=homes[at]))
-            shared = np.repeat(many, np.diff(np.append(cut, len(anchors))))
-            for home, part in _split(homes[shared]):
-                out.append(_row(home % buckets, SETTLED, docs[shared][part], anchors[shared][part], homes=homes[shared][part]))
+                out.append(_row(bucket, ENTRY, docs=docs[at], anchors=anchors[at], marks=many[at]))
+            shared = np.flatnonzero(np.repeat(counts > 1, counts))
+            shared = shared[np.argsort(docs[shared], kind="stable")]
+            for home, part in _split(docs[shared] % buckets):
+                out.append(_row(home, SETTLED, docs=docs[shared][part], anchors=anchors[shared][part]))
             return pa.RecordBatch.from_pylist(out, TYPES)
 
         for batch in batches:
             texts, ids = _texts(batch), _ids(batch)
-            homes = batch.column("__home").to_numpy(zero_copy_only=False).astype(np.int32)
             for text, _, _, anchor in text_runs(texts):
-                found.append((anchor, ids[text], homes[text]))
+                found.append((anchor, ids[text]))
             held += sum(map(len, texts))
             if held >= HOLD_BYTES and found:
                 yield send()
@@ -240,25 +263,27 @@ def _anchor_entries(buckets: int):
     return rows
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
+def _shared_anchors(buckets: int):
     """Step 1, one bucket: (doc, anchor) pairs whose anchor another document has."""
-    out = []
-    settled = table.filter(pa.compute.equal(table.column("kind"), SETTLED))
-    parts = [(_column(settled, "docs", np.int64), _column(settled, "anchors", np.uint64), _column(settled, "homes", np.int32))]
-    entries = table.filter(pa.compute.equal(table.column("kind"), ENTRY))
-    anchors, docs, homes, many = (_column(entries, n, t) for n, t in (("anchors", np.uint64), ("docs", np.int64), ("homes", np.int32), ("marks", np.int32)))
-    if len(anchors):
-        order = np.argsort(anchors, kind="stable")
-        anchors, docs, homes, many = anchors[order], docs[order], homes[order], many[order]
-        cut = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
-        counts = np.diff(np.append(cut, len(anchors)))
-        differ = (np.minimum.reduceat(docs, cut) != np.maximum.reduceat(docs, cut)) | (np.maximum.reduceat(many, cut) > 0)
-        wanted = np.repeat(differ, counts) & (many == 0)
-        parts.append((docs[wanted], anchors[wanted], homes[wanted]))
-    docs, anchors, homes = (np.concatenate(x) for x in zip(*parts))
-    for home, part in _split(homes):
-        out.append(_row(home, SETTLED, docs[part], anchors[part]))
-    return pa.Table.from_pylist(out, TYPES)
+
+    def rows(table: pa.Table) -> pa.Table:
+        settled, entries = _of_kind(table, SETTLED), _of_kind(table, ENTRY)
+        parts = [(_column(settled, "docs"), _column(settled, "anchors"))]
+        anchors, docs, many = (_column(entries, n) for n in ("anchors", "docs", "marks"))
+        if len(anchors):
+            order = np.argsort(anchors, kind="stable")
+            anchors, docs, many = anchors[order], docs[order], many[order]
+            cut = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
+            counts = np.diff(np.append(cut, len(anchors)))
+            differ = (np.minimum.reduceat(docs, cut) != np.maximum.reduceat(docs, cut)) | (np.maximum.reduceat(many, cut) > 0)
+            wanted = np.repeat(differ, counts) & (many == 0)
+            parts.append((docs[wanted], anchors[wanted]))
+        docs, anchors = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(docs, kind="stable")
+        docs, anchors = docs[order], anchors[order]
+        return pa.Table.from_pylist([_row(home, SETTLED, docs=docs[p], anchors=anchors[p]) for home, p in _split(docs % buckets)], TYPES)
+
+    return rows
 
 
 def _pair_hash(docs: np.ndarray, anchors: np.ndarray) -> np.ndarray:
@@ -274,13 +299,13 @@ def _run_entries(buckets: int):
         home = key[0].as_py()
         left = left.sort_by("__id")
         texts, ids = _texts(left), _ids(left)
-        marks = _text_marks(texts)
-        shared = np.unique(_pair_hash(_column(right, "docs", np.int64), _column(right, "anchors", np.uint64)))
+        marks = _text_marks(ids, texts)
+        shared = np.unique(_pair_hash(_column(right, "docs"), _column(right, "anchors")))
         first: dict[bytes, list] = {}
         covered: list[tuple] = []
-        for text, start, count, anchor in text_runs(texts):
+        for text, start, windows, anchor in text_runs(texts):
             some = np.flatnonzero(np.isin(_pair_hash(ids[text], anchor), shared))
-            ends = start[some] + count[some] + LEAST - 1
+            ends = start[some] + windows[some] + LEAST - 1
             for t, a, b, m in zip(text[some].tolist(), start[some].tolist(), ends.tolist(), anchor[some].tolist()):
                 string = texts[t][a:b]
                 seen = first.setdefault(string, [m])
@@ -295,26 +320,28 @@ def _run_entries(buckets: int):
             owner = np.array([e[2] for e in entries])
             starts = np.array([e[3] for e in entries])
             for bucket, part in _split((anchors % np.uint64(buckets)).astype(np.int64)):
+                part = part[np.argsort(owner[part], kind="stable")]
                 strings = [entries[i][0] for i in part]
-                ends = starts[part] + [len(s) for s in strings]
-                out.append(_row(bucket, ENTRY, ids[owner[part]], anchors[part], starts[part], ends, marks[owner[part]], np.full(len(part), home), b"".join(strings)))
+                at = owner[part]
+                # Within a bucket the low bits tell anchors apart; two that they don't are only compared in vain.
+                low = anchors[part] & np.uint64(0xFFFFFFFF)
+                out.append(_row(bucket, ENTRY, b"".join(strings), docs=ids[at], anchors=low, starts=starts[part], lengths=[len(s) for s in strings], marks=marks[at]))
         if covered:
             owner, starts, ends = (np.array(x) for x in zip(*covered))
-            out.append(_row(home % buckets, SETTLED, ids[owner], (), starts, ends, marks[owner], np.full(len(owner), home)))
+            out.append(_row(home, SETTLED, docs=ids[owner], starts=starts, lengths=ends - starts, marks=marks[owner]))
         return pa.Table.from_pylist(out, TYPES)
 
     return rows
 
 
-def _covered_ranges(table: pa.Table) -> pa.Table:
+def _covered_ranges(table: pa.Table, buckets: int) -> pa.Table:
     """Step 2, one bucket: the ranges of documents that smaller documents hold too."""
-    settled = table.filter(pa.compute.equal(table.column("kind"), SETTLED))
-    parts = [tuple(_column(settled, n, t) for n, t in (("docs", np.int64), ("starts", np.int64), ("ends", np.int64), ("marks", np.int32), ("homes", np.int32)))]
-    entries = table.filter(pa.compute.equal(table.column("kind"), ENTRY))
-    docs, anchors, starts, ends, marks, homes = (_column(entries, n, t) for n, t in (("docs", np.int64), ("anchors", np.uint64), ("starts", np.int64), ("ends", np.int64), ("marks", np.int32), ("homes", np.int32)))
+    settled, entries = _of_kind(table, SETTLED), _of_kind(table, ENTRY)
+    parts = [tuple(_column(settled, n) for n in ("docs", "starts", "lengths", "marks"))]
+    docs, anchors, starts, lengths, marks = (_column(entries, n) for n in ("docs", "anchors", "starts", "lengths", "marks"))
     if len(docs):
-        buffer = b"".join(x.as_py() for x in entries.column("strings"))
-        places = np.concatenate(([0], np.cumsum(ends - starts))).tolist()
+        buffer = b"".join(_unpack(x.as_py()) for x in entries.column("strings"))
+        places = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))).tolist()
         order = np.argsort(docs, kind="stable")
         first: dict[bytes, list[int]] = {}
         equal: list[int] = []
@@ -324,7 +351,7 @@ def _covered_ranges(table: pa.Table) -> pa.Table:
                 equal.append(i)
             else:
                 seen.append(i)
-        parts.append((docs[equal], starts[equal], ends[equal], marks[equal], homes[equal]))
+        parts.append((docs[equal], starts[equal], lengths[equal], marks[equal]))
         # Runs that are alone with their anchor, or whose anchor only one document has here, match nothing.
         strings = list(first)
         lead = np.array([first[s][0] for s in strings])
@@ -340,23 +367,27 @@ def _covered_ranges(table: pa.Table) -> pa.Table:
             owner, keys = suffix_keys([strings[i] for i in batch])
             hit = index.add(keys, docs[lead[batch]][owner])
             begin = np.searchsorted(owner, np.arange(len(batch)))
-            for place in np.flatnonzero(hit).tolist():
-                k = owner[place]
+            # Runs of covered windows make one range.
+            hits = np.flatnonzero(hit)
+            fresh = np.concatenate(([True], (np.diff(hits) != 1) | (np.diff(owner[hits]) != 0))) if len(hits) else np.empty(0, bool)
+            for a, b in zip(hits[fresh].tolist(), np.append(hits[np.roll(fresh, -1)], []).astype(int).tolist()):
+                k = owner[a]
                 for i in first[strings[batch[k]]]:
-                    a = starts[i] + place - begin[k]
-                    parts.append(((docs[i],), (a,), (a + LEAST,), (marks[i],), (homes[i],)))
-    docs, starts, ends, marks, homes = (np.concatenate([np.asarray(x) for x in c]).astype(np.int64) for c in zip(*parts))
-    out = [_row(home, SETTLED, docs[p], (), starts[p], ends[p], marks[p]) for home, p in _split(homes)]
-    return pa.Table.from_pylist(out, TYPES)
+                    parts.append(((docs[i],), (int(starts[i]) + a - begin[k],), (b - a + LEAST,), (marks[i],)))
+    docs, starts, lengths, marks = (np.concatenate([np.asarray(x) for x in c]).astype(np.int64) for c in zip(*parts))
+    order = np.argsort(docs, kind="stable")
+    docs, starts, lengths, marks = docs[order], starts[order], lengths[order], marks[order]
+    return pa.Table.from_pylist([_row(home, SETTLED, docs=docs[p], starts=starts[p], lengths=lengths[p], marks=marks[p]) for home, p in _split(docs % buckets)], TYPES)
 
 
 def _removals(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """Step 3, one home: (row, text, removed bytes)."""
-    docs, starts, ends, marks = (_column(right, n, t) for n, t in (("docs", np.int64), ("starts", np.int64), ("ends", np.int64), ("marks", np.int32)))
+    docs, starts, lengths, marks = (_column(right, n) for n in ("docs", "starts", "lengths", "marks"))
     order = np.argsort(docs, kind="stable")
-    docs, starts, ends, marks = docs[order], starts[order], ends[order], marks[order]
+    docs, starts, marks = docs[order], starts[order].astype(np.int64), marks[order]
+    ends = starts + lengths[order]
     texts, ids = _texts(left), _ids(left)
-    own = _text_marks(texts)
+    own = _text_marks(ids, texts)
     low, high = np.searchsorted(docs, ids, "left"), np.searchsorted(docs, ids, "right")
     for k, text in enumerate(texts):
         removed = np.zeros(len(text) + 1, np.int32)
@@ -394,14 +425,13 @@ def _covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents with __id and __home, and the covered ranges by home."""
     bounded_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+    buckets = next(n for n in count(max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))) if all(n % k for k in range(2, int(n**0.5) + 1)))
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    homed = docs.withColumn("__id", ids).withColumn("__home", F.pmod(F.xxhash64(ids), F.lit(buckets)).cast("int"))
-    narrow = homed.select("__id", "__home", "text")
-    anchors = narrow.mapInArrow(_anchor_entries(buckets), MOVED)
-    shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, MOVED)
+    homed = docs.withColumn("__id", ids).withColumn("__home", F.pmod(ids, F.lit(buckets)).cast("int"))
+    anchors = homed.select("__id", "text").mapInArrow(_anchor_entries(buckets), MOVED)
+    shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors(buckets), MOVED)
     runs = homed.groupBy("__home").cogroup(shared.groupBy("bucket")).applyInArrow(_run_entries(buckets), MOVED)
-    return homed, runs.groupBy("bucket").applyInArrow(_covered_ranges, MOVED)
+    return homed, runs.groupBy("bucket").applyInArrow(lambda table: _covered_ranges(table, buckets), MOVED)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
