@@ -114,6 +114,8 @@ class Packer:
         self.open, self.held = [[] for _ in range(self.length + 1)], 0
         self.levels[:] = 0
         left = sum(len(p[2]) for w in windows for p in w)
+        if not left:
+            return
         target = min(self.length, left)
         current, room = [], target
         if last and target < self.length:
