@@ -15,7 +15,8 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -31,7 +32,7 @@ WORD_END = "</w>"
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
 #: Pieces between ASCII white space of up to so many bytes are remembered, so many at most.
-MEMO_BYTES, MEMO_PIECES, MEMO_WORDS = 64, 1 << 19, 1 << 18
+MEMO_BYTES, MEMO_PIECES, MEMO_WORDS = 64, 1 << 18, 1 << 17
 SHORT_BYTES, NONE = 32, 1 << 40
 
 
@@ -45,6 +46,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def packed(ids: Iterable[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself if printable in Latin-1, else the next free one from 256 up."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -78,8 +83,8 @@ class StreamingBpe:
         self.lookahead = self._sufficient_lookahead()
         self.ranks = {(a << 16) | b: rank for (a, b), (rank, _) in self.merges.items()}
         self.results = {rank: whole for rank, whole in self.merges.values()}
-        self.memo: dict[bytes, tuple[int, ...]] = {}
-        self.words: dict[bytes, tuple[int, ...]] = {}
+        self.memo: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
     def _sufficient_lookahead(self) -> int:
         """Bytes to the right of a token that can decide it, over all chains of earlier merges that could take its last part."""
@@ -134,7 +139,7 @@ class StreamingBpe:
         if n > at:
             yield from self._merge([*(self.inner[b] for b in data[at : n - 1]), self.last[data[n - 1]]])
 
-    def piece(self, raw: bytes) -> tuple[int, ...]:
+    def piece(self, raw: bytes) -> bytes:
         """Tokens of what stands between white space: normalised to composed lower case, split into words."""
         if raw.isalpha():  # letters of ASCII are one word as they are
             return self.whole(raw.lower())
@@ -142,22 +147,22 @@ class StreamingBpe:
             return self.whole(head.lower()) + self.whole(raw[-1:])
         text = unicodedata.normalize("NFC", raw.decode()).replace("Σ", "σ").lower()
         words = [match[0].encode() for match in WORD.finditer(text)]
-        return self.whole(words[0]) if len(words) == 1 else tuple(chain.from_iterable(map(self.whole, words)))
+        return self.whole(words[0]) if len(words) == 1 else b"".join(map(self.whole, words))
 
-    def whole(self, word: bytes) -> tuple[int, ...]:
-        """Tokens of one word, remembered if short."""
+    def whole(self, word: bytes) -> bytes:
+        """Tokens of one word, four bytes each, remembered if short."""
         ids = self.words.get(word)
         if ids is None:
             if len(word) <= SHORT_BYTES:
-                ids = self._merge_short([*map(self.inner.__getitem__, word[:-1]), self.last[word[-1]]])
+                ids = packed(self._merge_short([*map(self.inner.__getitem__, word[:-1]), self.last[word[-1]]]))
                 if len(self.words) >= MEMO_WORDS:
                     self.words.clear()
                 self.words[word] = ids
             else:
-                ids = tuple(self.word(word))
+                ids = packed(self.word(word))
         return ids
 
-    def _merge_short(self, symbols: list[int]) -> tuple[int, ...]:
+    def _merge_short(self, symbols: list[int]) -> list[int]:
         """As _merge, by looking for the lowest rank anew each time; equal ranks are equal pairs, taken from the left."""
         get, none = self.ranks.get, NONE
         ranks = [get((a << 16) | b, none) for a, b in zip(symbols, symbols[1:])]
@@ -172,11 +177,11 @@ class StreamingBpe:
                 ranks[i] = get((symbols[i] << 16) | symbols[i + 1], none)
             if i:
                 ranks[i - 1] = get((symbols[i - 1] << 16) | symbols[i], none)
-        return tuple(symbols)
+        return symbols
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text as unsigned 32-bit integers."""
-        parts: list[tuple[int, ...]] = []
+        parts: list[bytes] = []
         if not text:
             return np.empty(0, np.uint32)
         memo, at = self.memo, 0
@@ -195,9 +200,9 @@ class StreamingBpe:
                             memo[raw] = ids
             parts += known
             if match:
-                parts.append((self.special[match[0]],))
+                parts.append(packed((self.special[match[0]],)))
                 at = match.end()
-        return np.fromiter(chain.from_iterable(parts), np.uint32)
+        return np.frombuffer(b"".join(parts), np.uint32)
 
 
 class Decoder:

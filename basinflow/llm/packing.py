@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.bpe import MEMO_WORDS, TOKENIZER, StreamingBpe, tokenizer_path
+from basinflow.llm.bpe import MEMO_WORDS, TOKENIZER, StreamingBpe, packed, tokenizer_path
 from basinflow.llm.common import bounded_batches
 
 LENGTH, END = 4096, 2
@@ -42,10 +42,10 @@ class LibraryWords(StreamingBpe):
         super().__init__(path)
         self.model = Tokenizer.from_file(path).model
 
-    def whole(self, word: bytes) -> tuple[int, ...]:
+    def whole(self, word: bytes) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            ids = tuple(t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word))))
+            ids = packed([t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word)))])
             if len(self.words) >= MEMO_WORDS:
                 self.words.clear()
             self.words[word] = ids
