@@ -32,8 +32,8 @@ UNDETERMINED = "und"
 
 @lru_cache(maxsize=1)
 def lower_letters() -> np.ndarray:
-    """For each code point below 65536 its lower-case letter, or a space."""
-    return np.array([ord(c.lower()) if (c := chr(k)).isalpha() and len(c.lower()) == 1 and ord(c.lower()) < 65536 else 32 for k in range(65536)], np.uint16)
+    """For each code point below 65536 its lower-case letter (the first, if lower case takes several), or a space."""
+    return np.array([ord(c.lower()[0]) if (c := chr(k)).isalpha() else 32 for k in range(65536)], np.uint16)
 
 
 def symbols(text: str) -> np.ndarray:

@@ -249,6 +249,7 @@ def test_language(spark, odd, empty):
     parsed = {r["doc_id"]: r["p"] for r in language.identify(odd, (("en", "word two a b c d"), ("xx", "zzz")), ("p", "q")).collect()}
     assert parsed[1] == parsed[2] == parsed[3] == "und" and parsed[4] == "en"
     assert language.identify(empty).count() == 0
+    assert language.symbols("İ1 Éa").tolist() == [ord("i"), 32, ord("é"), ord("a")]
 
 
 def test_cross_parsing_counts_phrases():
