@@ -231,9 +231,18 @@ def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def fit_labeller(pages: DataFrame) -> dict[str, np.ndarray]:
-    """Weights from TRAIN_PAGES pages, the first by a hash of page_id, of up to 200,000 characters each."""
-    some = pages.where(F.col("html").isNotNull() & (F.length("html") <= 200_000)).select("page_id", "html")
-    some = some.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(TRAIN_PAGES).collect()
+    """Weights from TRAIN_PAGES pages, the first by a hash of page_id, of up to 200,000 characters each.
+
+    Two hashes a page find the last that is wanted; only then are whole pages of up to it sent, not the first of every task.
+    """
+    usable = pages.where(F.col("html").isNotNull() & (F.length("html") <= 200_000))
+    hashed = usable.select(F.xxhash64("page_id").alias("h"), F.xxhash64("html").alias("g"), "html")
+    first = hashed.select("h", "g").orderBy("h", "g").limit(TRAIN_PAGES).collect()
+    if not first:
+        return BlockLabeller().w
+    h, g = first[-1]
+    wanted = hashed.where((F.col("h") < h) | ((F.col("h") == h) & (F.col("g") <= g)))
+    some = wanted.orderBy("h", "g").limit(TRAIN_PAGES).collect()
     memo: dict = {}
     cut = [blocks(r["html"]) for r in some]
     labeller = BlockLabeller()
