@@ -295,7 +295,7 @@ def test_html(spark):
     page = "<nav><a href='/'>Home</a></nav><article><h1>A &amp; B</h1><p>One\n <b>two</b><p>Three &lt;x&gt;</article><div class=comments>Nice!</div><script>var a='<p>no</p>'</script>"
     assert [t for _, t, _ in html_text.blocks(page)] == ["Home", "A & B", "One two", "Three <x>", "Nice!"]
     rows = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<<<>>> < & &bogus;"), (3, "u", "<<<>>> < & &bogus;")], "page_id long, url string, html string")
-    assert html_text.extract_main_text(rows).count() == 4
+    assert html_text.extract_main_text(rows).count() == 4 and html_text.extract_main_text(rows.limit(0)).count() == 0
 
 
 def test_labeller_gradients():
