@@ -36,7 +36,7 @@ MEMO_BYTES, MEMO_PIECES, MEMO_WORDS = 64, 1 << 18, 1 << 17
 SHORT_BYTES, NONE = 32, 1 << 40
 
 
-#: Contractions, runs of letters, single digits, runs of the rest; code points that only the newest Unicode assigns may differ.
+#: Contractions, runs of letters, single digits, runs of the rest.
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 
 
@@ -85,6 +85,7 @@ class StreamingBpe:
         self.results = {rank: whole for rank, whole in self.merges.values()}
         self.memo: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
+        self.path, self.library = path, None
 
     def _sufficient_lookahead(self) -> int:
         """Bytes to the right of a token that can decide it, over all chains of earlier merges that could take its last part."""
@@ -145,10 +146,24 @@ class StreamingBpe:
             return self.whole(raw.lower())
         if (head := raw[:-1]).isalpha() and raw[-1:] in b".,!;?:":
             return self.whole(head.lower()) + self.whole(raw[-1:])
-        text = unicodedata.normalize("NFC", raw.decode()).replace("Σ", "σ").lower()
-        words = [match[0].encode() for match in WORD.finditer(text)]
+        plain = raw.decode()
+        if not raw.isascii() and "Cn" in map(unicodedata.category, plain):
+            words = self.newest_words(plain)
+        else:
+            text = unicodedata.normalize("NFC", plain).replace("Σ", "σ").lower()
+            words = [match[0].encode() for match in WORD.finditer(text)]
         return self.whole(words[0]) if len(words) == 1 else b"".join(map(self.whole, words))
 
+    def newest_words(self, plain: str) -> list[bytes]:
+        """Words of a piece with code points that Python's tables don't know: the tokenizers library has tables of its own."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        text = self.library.normalizer.normalize_str(plain)
+        number = {letter: k for k, letter in enumerate(self.letters)}
+        return [bytes(map(number.__getitem__, word)) for word, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def whole(self, word: bytes) -> bytes:
         """Tokens of one word, four bytes each, remembered if short."""
         ids = self.words.get(word)

@@ -269,6 +269,7 @@ def test_bpe_equals_library(docs):
     token, own = library(), bpe.load(bpe.tokenizer_path())
     rng = np.random.default_rng(4)
     made = ["", "x" * 9000, "ab" * 7000, "日本語テキスト" * 300, "ΑΣ ΣΑΣ.", "İstanbul é ́x", "<|endoftext|>hi<|startoftext|> <|END|>", "it's we'll", "\x1c\x1d!!"]
+    made.append(" ".join(f"a{chr(c)}1 {chr(c)}{chr(c)}é" for c in (0x1C89, 0xA7CB, 0x10D50, 0x11BC0, 0x323B0, 0x2FFF, 0xE0FFF)))
     made += ["".join(rng.choice(list("abcdefgh"[:k]), 5000)) for k in (2, 3, 8)] + ["".join(rng.choice(["th", "er", "ing", "tion", "é", "!"], 3000)) for _ in range(3)]
     for text in [*made, *texts(docs).values()]:
         ids = token.encode(text, add_special_tokens=False).ids
