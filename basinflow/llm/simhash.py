@@ -89,13 +89,6 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the smallest of its class, or null if all are; rows that share it all stay. All columns stay."""
-    groups = simhash_groups(docs)
-    ids = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-
-
 def op1_simhash(spark, sf_dir):
     from basinflow.llm.common import table
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from basinflow.llm import bpe, html_text, language, packing, pii, quality, search, sharding, simhash, substrings, suffix
+from basinflow.llm import bpe, html_text, language, near_copies, packing, pii, quality, search, sharding, simhash, substrings, suffix
 from tests.compare import connect, differ
 
 SF = "/root/testdata/sf0.001"
@@ -83,6 +83,36 @@ def test_simhash_links_of_crowded_blocks(spark, pairwise, monkeypatch):
     assert {v: roots.get(v, v) for v in values} == brute_components({v: v for v in values})
 
 
+def test_near_copies_at_similarity_of_the_job(spark):
+    rng = np.random.default_rng(11)
+    rows, pairs = [], 0
+    for k in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        other = list(words)
+        for at in rng.choice(200, int(rng.integers(2, 8)), replace=False):
+            other[at] = f"v{at}"
+        one, two = ({tuple(x[i : i + 5]) for i in range(196)} for x in (words, other))
+        pairs += len(one & two) >= 0.8 * len(one | two)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    assert 20 < pairs < 150
+    kept = {r.doc_id for r in near_copies.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(kept) == 300 - pairs and kept >= set(range(0, 300, 2))
+
+
+def test_near_copies_keep_exactly_one_row_of_a_class(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, "other words of no one " * 9, "p"), (None, "other words of no one " * 9, "q"), (None, "other words of no one " * 9, "q"), (1, text, "b"), (1, text, "a"), (1, text + " end", "a"), (None, text, "a"), (2, text, "a"), (3, "short one", "a")]
+    found = near_copies.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(found) == 3 and sorted(r.doc_id or 0 for r in found) == [0, 1, 3] and {r.lang for r in found} <= {"p", "a"}
+
+
+def test_near_copies_in_crowded_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "PAIRWISE", 4)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(40)]
+    assert [r.doc_id for r in near_copies.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
 def test_topk_equals_oracle_and_pruning_is_exact(spark):
     assert differ(search.op2_topk_search(spark, SF), connect(SF), search.OP2_SQL) == ""
     rng = np.random.default_rng(5)
