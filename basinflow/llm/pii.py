@@ -98,8 +98,9 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     some = found.select("__text", F.explode("__base").alias("s"))
     start, end = F.col("s.start"), F.col("s.end")
     first = F.greatest(start - NEAR_CHARS, F.lit(0))
-    left = F.regexp_replace(F.substring_index(F.substring(F.col("__text"), first + 1, start - first), "\n", -1), F.lit(r"^\p{L}+"), F.lit(""))
-    right = F.regexp_replace(F.substring_index(F.substring(F.col("__text"), end + 1, F.lit(NEAR_CHARS)), "\n", 1), F.lit(r"\p{L}+$"), F.lit(""))
+    # A word at an edge is dropped only if the window cut it: a letter stands on both sides of the edge.
+    left = F.substring_index(F.regexp_replace(F.substring(F.col("__text"), F.greatest(first, F.lit(1)), start - F.greatest(first, F.lit(1)) + 1), F.when(first > 0, F.lit(r"^(?:\p{L}+|[^\p{L}])")).otherwise(F.lit("^(?!)")), F.lit("")), "\n", -1)
+    right = F.substring_index(F.regexp_replace(F.substring(F.col("__text"), end + 1, F.lit(NEAR_CHARS + 1)), F.when(F.length("__text") > end + NEAR_CHARS, F.lit(r"(?:\p{L}+|[^\p{L}])$")).otherwise(F.lit("(?!)$")), F.lit("")), "\n", 1)
     around = materialize(some.select(F.col("s.value").alias("entity"), F.concat_ws(" ", left, right).alias("near")).groupBy("entity", "near").agg(F.count("*").alias("n")))
     entities = around.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("ways")).where(F.col("ways") >= SUPPORT)
     pairs = around.select("entity", "n", F.explode(_words(F.col("near"))).alias("term")).groupBy("entity", "term")

@@ -270,6 +270,16 @@ def test_disclosing_terms(spark):
     assert clean[0] == "note one from <TERM> to <EMAIL> today" and clean[100] == plain[0][1]
 
 
+@pytest.mark.parametrize("shape", ["Quillfeather: ann@corp.example", "note {}\nQuillfeather: ann@corp.example is\ntoday", "ann@corp.example Quillfeather", "note {}\nfrom ann@corp.example Quillfeather\ntoday"])
+def test_disclosing_terms_at_the_edges_of_lines_and_texts(spark, shape):
+    ways = ["is", "or", "at", "by"]
+    secret = [(k, (f"{shape} {w}" if shape[0] == "Q" else f"{w} {shape}" if shape[0] == "a" else shape.format(k).replace(" is", f" {w}").replace("from", w))) for k, w in enumerate(ways)]
+    plain = [(100 + k, f"note {k} from is or at by nobody today") for k in range(60)]
+    rows = spark.createDataFrame(secret + plain, "doc_id long, text string")
+    assert {r.term for r in pii.disclosing_terms(rows).collect()} == {"quillfeather"}
+    assert "<TERM>" in {r.doc_id: r.text for r in pii.sanitize(rows).collect()}[0]
+
+
 def test_language(spark, odd, empty):
     found = language.op8_language(spark, "/root/testdata/sf0.01").toPandas()
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").toPandas()
