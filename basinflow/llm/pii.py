@@ -1,10 +1,12 @@
 """Personal data by patterns, and terms that give it away by how they occur with it in the corpus.
 
-Base kinds are found by pattern. Each value found is a protected entity e. A term t is a word of letters near e, in the same
-line. Over the documents of the corpus, t discloses e if PMI(e, t) / IC(e) = log2(N n(e,t) / (n(e) n(t))) / log2(N / n(e)) is at
-least DISCLOSURE: at 1, t occurs only with e. A term counts only if it stands with e in SUPPORT different surroundings, so copies
-of one text prove nothing. Disclosing terms are spans of kind term in every document that holds their entity; sanitising
-removes base values, leaving their kind, and generalises terms. Only DataFrame functions are used.
+Base kinds are found by pattern. Each value found is a protected entity e. A term t is a word of letters outside of the base
+values. N, n(e), n(t) and n(e,t) all count documents of the corpus (rows) by the words and values of their whole texts. t discloses
+e if PMI(e, t) / IC(e) = log2(N n(e,t) / (n(e) n(t))) / log2(N / n(e)) is at least DISCLOSURE: at 1, t occurs only with e. A term
+counts only if it occurs with e in SUPPORT different texts, so copies of one text prove nothing. Candidates are all words but
+lower-case words of two letters and single letters of scripts with case, where no name is written so. Disclosing terms are spans of
+kind term in every document that holds their entity; sanitising removes base values, leaving their kind, and generalises terms.
+Only DataFrame functions are used.
 
 Defined cases: a null text is empty; an empty text has no spans; repeated rows get equal rows, and count each for the corpus; a
 null doc_id is carried along; ties need no order, since a term is one span. Other columns are kept by sanitize() and not looked at.
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import materialize
+from basinflow.llm.common import discard, materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Patterns without backtracking over long runs: a match may begin where no character of its first run stands before, or where
@@ -28,7 +30,8 @@ PATTERNS = {
 }
 #: What a text must hold to be searched for a kind at all.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-NEAR_CHARS, LEAST_LETTERS = 60, 4
+#: Words that can be names: three letters, two with a capital, or any number in scripts without case.
+NAME = r"(?<!\p{L})(?:\p{L}{3,}|\p{Lu}\p{L}|\p{Lo}{1,2})(?!\p{L})"
 SUPPORT, DISCLOSURE = 3, 0.95
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -88,41 +91,59 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
     return df.withColumn("__base", base).drop(*[f"__{kind}" for kind in PATTERNS])
 
 
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{%d,}" % LEAST_LETTERS), F.lit(0)))
+def _words(text: Column, pattern: str = r"\p{L}+") -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
+
+
+def _outside(text: Column, base: Column) -> Column:
+    """The text with base values replaced by a space each."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        before = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        return F.struct(F.greatest(s["end"], state["at"]).alias("at"), F.concat(state["out"], before, F.lit(" ")).alias("out"))
+
+    return F.aggregate(base, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """(entity, term) pairs at or above the disclosure threshold, from all documents."""
-    found = with_base_spans(docs.select("doc_id", "text")).where(F.size("__base") > 0)
-    some = found.select("__text", F.explode("__base").alias("s"))
-    start, end = F.col("s.start"), F.col("s.end")
-    first = F.greatest(start - NEAR_CHARS, F.lit(0))
-    # A word at an edge is dropped only if the window cut it: a letter stands on both sides of the edge.
-    left = F.substring_index(F.regexp_replace(F.substring(F.col("__text"), F.greatest(first, F.lit(1)), start - F.greatest(first, F.lit(1)) + 1), F.when(first > 0, F.lit(r"^(?:\p{L}+|[^\p{L}])")).otherwise(F.lit("^(?!)")), F.lit("")), "\n", -1)
-    right = F.substring_index(F.regexp_replace(F.substring(F.col("__text"), end + 1, F.lit(NEAR_CHARS + 1)), F.when(F.length("__text") > end + NEAR_CHARS, F.lit(r"(?:\p{L}+|[^\p{L}])$")).otherwise(F.lit("(?!)$")), F.lit("")), "\n", 1)
-    around = materialize(some.select(F.col("s.value").alias("entity"), F.concat_ws(" ", left, right).alias("near")).groupBy("entity", "near").agg(F.count("*").alias("n")))
-    entities = around.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("ways")).where(F.col("ways") >= SUPPORT)
-    pairs = around.select("entity", "n", F.explode(_words(F.col("near"))).alias("term")).groupBy("entity", "term")
-    pairs = pairs.agg(F.sum("n").alias("n_et"), F.count("*").alias("ways")).where(F.col("ways") >= SUPPORT).drop("ways")
-    pairs = materialize(pairs.join(entities.drop("ways"), "entity"))
-    if pairs.isEmpty():
-        return pairs.select("entity", "term")
-    # By the documents with personal data alone, common words already occur too often to disclose anything: n(t) is as large at
-    # least, and the threshold bounds it from above.
+    based = with_base_spans(docs.select("doc_id", "text"))
+    values = F.array_distinct(F.transform("__base", lambda s: s["value"]))
+    found = materialize(based.where(F.size("__base") > 0).select(F.xxhash64("__text").alias("key"), values.alias("values"), _outside(F.col("__text"), F.col("__base")).alias("rest")))
+    # Rows with one text count together.
+    held = found.select("key", F.explode("values").alias("entity")).groupBy("entity", "key").agg(F.count("*").alias("n"))
+    entities = materialize(held.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("ways")).where(F.col("ways") >= SUPPORT).drop("ways"))
+    if entities.isEmpty():
+        return entities.select("entity", F.col("entity").alias("term"))
     total = docs.count()
-    most = F.col("n_et") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - DISCLOSURE))
-    among = found.select(F.explode(_words(F.col("__text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_least"))
-    pairs = materialize(pairs.join(among, "term").where(F.col("n_least") <= most * (1 + 1e-9)).drop("n_least"))
+    most = lambda n_et, n_e: n_et * F.pow(F.lit(float(total)) / n_e, F.lit(1 - DISCLOSURE)) * (1 + 1e-9)
+    # By the documents with personal data alone, common words already occur too often to disclose anything: n(t) is as large at
+    # least, and the threshold bounds it from above, for any entity by the one for which it is largest.
+    top = entities.agg(F.max(most(F.col("n_e"), F.col("n_e")))).first()[0]
+    among = found.select(F.explode(_words(F.col("rest"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_least"))
+    among = materialize(among.where((F.col("n_least") >= SUPPORT) & (F.col("n_least") <= top)))
+    # Words that can still disclose something, by text; then by entity and term, summed before they are dealt out.
+    texts = found.groupBy("key").agg(F.min("rest").alias("rest"))
+    names = texts.select("key", F.explode(_words(F.col("rest"), NAME)).alias("term")).join(among, "term")
+    lists = materialize(names.groupBy("key").agg(F.collect_list(F.struct("term", "n_least")).alias("names")))
+    pairs = held.join(entities, "entity").join(lists, "key").select("entity", "n", "n_e", F.explode("names").alias("t")).where(F.col("t.n_least") <= most(F.col("n_e"), F.col("n_e")))
+    pairs = pairs.groupBy("entity", F.col("t.term").alias("term"), F.col("t.n_least").alias("n_least"), "n_e").agg(F.sum("n").alias("n_et"), F.count("*").alias("ways")).where(F.col("ways") >= SUPPORT)
+    pairs = materialize(pairs.where(F.col("n_least") <= most(F.col("n_et"), F.col("n_e"))).drop("ways", "n_least"))
+    for made in (among, lists):
+        discard(made)
     if pairs.isEmpty():
         return pairs.select("entity", "term")
     # Candidate terms are a stored table: it is broadcast only if its size is below Spark's threshold.
     wanted = materialize(pairs.select("term").distinct())
-    seen = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    rests = based.where(F.size("__base") == 0).select(F.col("__text").alias("rest")).union(found.select("rest"))
+    seen = rests.select(F.explode(_words(F.col("rest"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     joined = pairs.join(seen, "term")
     share = lambda x: F.log2(F.lit(float(total)) / x)
     pmi = F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.col("n_t")))
-    return materialize(joined.where((F.col("n_e") < total) & (pmi >= DISCLOSURE * share(F.col("n_e")))).select("entity", "term"))
+    terms = materialize(joined.where((F.col("n_e") < total) & (pmi >= DISCLOSURE * share(F.col("n_e")))).select("entity", "term"))
+    discard(found)
+    return terms
 
 
 def with_spans(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:

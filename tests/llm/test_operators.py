@@ -280,6 +280,13 @@ def test_disclosing_terms_at_the_edges_of_lines_and_texts(spark, shape):
     assert "<TERM>" in {r.doc_id: r.text for r in pii.sanitize(rows).collect()}[0]
 
 
+def test_disclosing_terms_of_whole_texts(spark):
+    plain = [(100 + k, f"note number {k} from nobody today is or at by") for k in range(60)]
+    for name, shape in (("quillfeather", "from Quillfeather\nnote ann@corp.example {}"), ("quillfeather", "Quillfeather " + "from nobody today " * 20 + "ann@corp.example {}"), ("ann", "note from Ann ann@corp.example {}"), ("bo", "note from Bo x@corp.example {}"), ("\u738b\u82b3", "note \u738b\u82b3 x@corp.example {}")):
+        rows = spark.createDataFrame([(k, shape.format(w)) for k, w in enumerate(["is", "or", "at", "by"])] + plain, "doc_id long, text string")
+        assert {r.term for r in pii.disclosing_terms(rows).collect()} == {name}
+
+
 def test_language(spark, odd, empty):
     found = language.op8_language(spark, "/root/testdata/sf0.01").toPandas()
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").toPandas()
