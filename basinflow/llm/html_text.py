@@ -35,7 +35,7 @@ INLINE = frozenset(
 )
 CLOSES_P = "p"
 MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*+>",
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?<=/)>|<({'|'.join(RAW)})(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*+>",
     re.S | re.I,
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)

@@ -346,6 +346,12 @@ def test_html(spark):
     assert html_text.extract_main_text(rows).count() == 4 and html_text.extract_main_text(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["<svg-icon name=x></svg-icon>", "<template-x>", "<select-box></select-box>", "<style-guide/>", "<svg class='a' />", '<svg title="a > b"/>', "<svg/>", "<SVG/>"])
+def test_html_raw_tags_end_with_their_names(tag):
+    page = f"<div>{tag}</div><article><p>One</p><svg><title>no</title></svg><select ><option>no</select><p>Two</p></article>"
+    assert [t for _, t, _ in html_text.blocks(page)] == ["One", "Two"]
+
+
 def test_labeller_gradients():
     model = html_text.BlockLabeller()
     model.w = {n: v.astype(np.float64) for n, v in model.w.items()}
