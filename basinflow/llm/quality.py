@@ -15,7 +15,7 @@ from basinflow.llm.suffix import covered, longest_repeats
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
-#: The verdict of the method: the largest share of a text's words under repeats, and the longest repeat, in words and as a share.
+#: The verdict of the method: the largest share of a text's characters in words under repeats, and the longest repeat, in words and as a share.
 COVERED_LIMIT, LONGEST_WORDS, LONGEST_SHARE = 0.30, 50, 0.15
 FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -32,10 +32,11 @@ def measure(text: str | None) -> tuple:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     ids: dict[bytes, int] = {}
     longest = longest_repeats(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, n))
-    repeated = int(covered(longest, WINDOW).sum())
+    under = covered(longest, WINDOW)
+    repeated = int(under.sum())
     most = int(longest.max(initial=0))
     failed = n < LEAST_WORDS or 100 * repeated > REPEATED_PERCENT * n
-    share = repeated / n if n else 0.0
+    share = len(b"".join([w for w, u in zip(words, under.tolist()) if u]).decode()) / chars if repeated else 0.0
     kept = not failed and share <= COVERED_LIMIT and (most < LONGEST_WORDS or most <= LONGEST_SHARE * n)
     return n, chars, symbols, len(lines) - len(set(lines)), repeated, failed, kept, share, most
 

@@ -143,6 +143,13 @@ def test_suffix_quality(spark, docs):
         assert not (r.kept and r.base_failed)
 
 
+def test_suffix_quality_by_covered_characters_alone():
+    long = " ".join(f"{'long' * 9}{k}é" for k in range(10))
+    n, chars, *_, repeated, failed, kept, share, most = quality.measure(" ".join([long, *(f"a{k}" for k in range(60)), long]))
+    assert (n, repeated, failed, most, kept) == (80, 20, False, 10, False)
+    assert abs(share - 2 * len(long.replace(" ", "")) / chars) < 1e-12 and share > quality.COVERED_LIMIT
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 7, 200):
