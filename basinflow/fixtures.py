@@ -95,9 +95,9 @@ from customer join nation on c_nationkey = n_nationkey
 """,
     "fx_timeseries_metadata": """
 select m.monitoring_location_id, m.state_name, m.hydrologic_unit_code,
-  case when e.event_type in ('click', 'error') then 'Instantaneous' when e.event_type = 'view' then 'Mean' else null end as computation_identifier,
-  case when e.event_type = 'click' then 'Points' when e.event_type = 'view' then 'Daily' else null end as computation_period_identifier
-from (select distinct user_id, event_type from events where event_id % 16 = 0) e
+  case when e.user_id % 4 = 1 then null when e.event_type in ('click', 'error') then 'Instantaneous' when e.event_type = 'view' then 'Mean' else null end as computation_identifier,
+  case when e.user_id % 3 = 2 then null when e.event_type = 'click' then 'Points' when e.event_type = 'view' then 'Daily' else null end as computation_period_identifier
+from (select distinct user_id, event_type from events) e
 join fx_monitoring_locations m on m.monitoring_location_id = lpad(cast(e.user_id as string), 8, '0')
 """,
     "fx_existing_rows": """
@@ -110,7 +110,7 @@ select user_id, ts, value + 1e0 as value from events where ts >= timestamp '2024
 select event_id as run_id, ts as created_at, case when event_type = 'error' then 'failed' else 'finished' end as state,
   case when event_type = 'signup' then null else value end as test_mae,
   event_id % 10 <> 3 as has_model, event_id = 500 as is_production
-from events where event_id % 10 in (0, 3)
+from events
 """,
 }
 

@@ -86,3 +86,14 @@ def test_publish(spark, stored, tmp_path):
     assert (first.n_rows, second.n_rows) == (2, 3)
     changed = publish.publish(spark, local.withColumn("x", F.lit(1)), str(tmp_path), "v3", ["site_id", "t"], "site_id", "t", previous="v2").first()
     assert changed.n_rows == 1 and changed.fingerprint != second.fingerprint
+
+
+def test_series_and_runs_come_from_all_events(spark):
+    from basinflow.fixtures import Views
+
+    views = Views(spark, "/root/testdata/sf0.001")
+    events = views.table("events")
+    assert views.model_runs.count() == events.count()
+    assert views.timeseries_metadata.count() == events.select("user_id", "event_type").distinct().count()
+    gaps = views.timeseries_metadata.where("computation_identifier is null or computation_period_identifier is null")
+    assert 0 < gaps.count() < views.timeseries_metadata.count()
