@@ -407,7 +407,7 @@ def _(m):
 @query("score_recent")
 def _(m):
     frame = ml.training_frame(m.hourly())
-    model = ml.forest(10, 6).fit(frame)
+    model = ml.forest().fit(frame)
     return ml.score(model, features.last_hours(frame, "observation_hour", 24), "v1", F.lit(NOW).cast("timestamp_ntz"))
 
 

@@ -97,3 +97,18 @@ def test_series_and_runs_come_from_all_events(spark):
     assert views.timeseries_metadata.count() == events.select("user_id", "event_type").distinct().count()
     gaps = views.timeseries_metadata.where("computation_identifier is null or computation_period_identifier is null")
     assert 0 < gaps.count() < views.timeseries_metadata.count()
+
+
+def test_forests_and_grid_are_of_the_reference_size(spark):
+    import inspect
+
+    from basinflow import queries
+    from basinflow.operators import ml
+
+    last = ml.forest().getStages()[-1]
+    assert (last.getNumTrees(), last.getMaxDepth(), last.getMinInstancesPerNode()) == (100, 30, 1)
+    given = {k: v.default for f in (ml.predictions, ml.param_search) for k, v in inspect.signature(f).parameters.items()}
+    assert [given[k] for k in ("depth", "depths", "rows")] == [30, (5, 10, 20), (1, 3, 5)]
+    assert inspect.signature(ml.predictions).parameters["trees"].default == 100
+    assert inspect.signature(ml.param_search).parameters["trees"].default == (50, 100, 200)
+    assert "ml.forest().fit(frame)" in inspect.getsource(queries)
