@@ -5,7 +5,7 @@ with the sample (Ziv-Merhav parsing); the count of phrases times the bits of a p
 entropy, and the smallest wins. The automata are dense tables, so that many texts walk in step; a long text is walked in
 portions whose phrase counts add up.
 
-Fitting: SAMPLE_DOCS documents a language at most (by a hash of doc_id), SAMPLE_PIECE symbols of each and SAMPLE_SYMBOLS in all.
+Fitting: SAMPLE_DOCS different pieces a language at most (the first by a hash of doc_id), SAMPLE_PIECE symbols of each and SAMPLE_SYMBOLS in all.
 Whole texts are parsed. Symbols are lower-case letters, anything else is one space.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0; without labelled rows every text is "und"; ties go to
@@ -19,7 +19,7 @@ import math
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basinflow.llm.common import bounded_batches
@@ -162,17 +162,38 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def least_pieces(batches):
+    """The first SAMPLE_DOCS different (hash, doc_id, piece) of each language in these batches."""
+    import pyarrow as pa
+
+    least: dict[str, set[tuple]] = {}
+    limit: dict[str, tuple] = {}
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "hash", "doc_id", "piece"))):
+            lang, key = row[0], row[1:]
+            if lang in limit and key >= limit[lang]:
+                continue
+            some = least.setdefault(lang, set())
+            some.add(key)
+            if len(some) >= 2 * SAMPLE_DOCS:
+                some = least[lang] = set(sorted(some)[:SAMPLE_DOCS])
+                limit[lang] = max(some)
+    rows = [(lang, *key) for lang, some in least.items() for key in sorted(some)[:SAMPLE_DOCS]]
+    names, types = ["lang", "hash", "doc_id", "piece"], [pa.string(), pa.int64(), pa.string(), pa.string()]
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+
 def fit(docs: DataFrame) -> tuple[tuple[str, str], ...]:
-    """(lang, text) pieces of labelled, not held-out rows, bounded as above."""
+    """(lang, text) pieces of labelled, not held-out rows: the first SAMPLE_DOCS different pieces a language by the hash of doc_id."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return ()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    wanted = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 1.25 * SAMPLE_DOCS / n)])
-    some = rows.where(share < wanted[F.col("lang")]).select("lang", "doc_id", F.substring("text", 1, 4 * SAMPLE_PIECE).alias("piece"))
+    pieces = rows.select("lang", F.xxhash64("doc_id").alias("hash"), F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, 4 * SAMPLE_PIECE).alias("piece"))
+    some = pieces.mapInArrow(least_pieces, "lang string, hash long, doc_id string, piece string").distinct()
+    first = Window.partitionBy("lang").orderBy("hash", "doc_id", "piece")
+    some = some.withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE_DOCS)
     texts: dict[str, list[str]] = {}
-    for r in some.orderBy("lang", F.xxhash64("doc_id"), "doc_id", "piece").collect():
+    for r in some.orderBy("lang", "k").collect():
         texts.setdefault(r["lang"], []).append("".join(map(chr, symbols(r["piece"])[:SAMPLE_PIECE].tolist())))
     return tuple((lang, " ".join(p)[:SAMPLE_SYMBOLS]) for lang, p in sorted(texts.items()))
 

@@ -306,6 +306,16 @@ def test_language(spark, odd, empty):
     assert language.symbols("İ1 Éa").tolist() == [ord("i"), 32, ord("é"), ord("a")]
 
 
+def test_language_sample_is_bounded_and_misses_none(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_DOCS", 5)
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, chr(97 + k % 26) * 3, "aa") for k, i in enumerate(free)]
+    rows += [(i, f"{'x' * k} z", lang) for lang, i in (("bb", free[0]), ("cc", free[1]), ("dd", free[2])) for k in range(1, 200)] + [(free[0], "z", "bb")] * 300
+    fitted = dict(language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert sorted(fitted) == ["aa", "bb", "cc", "dd"]
+    assert len(fitted["aa"].split()) == 5 and all(len(fitted[x].split(" z")) - 1 <= 5 for x in ("bb", "cc", "dd"))
+
+
 def test_cross_parsing_counts_phrases():
     parser = language.CrossParser((("a", "the cat sat"), ("b", "le chat est la")))
     sample = parser.code[language.symbols("the catz sat")]
