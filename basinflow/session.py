@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -31,12 +33,17 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(archive)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; a temporary one only where none is set."""
-    import uuid
-
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir. Only one machine's own session (local[...]) may do without: a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(where)
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
