@@ -2,8 +2,9 @@
 
 The merge list fixes how far to the right of a token the bytes can reach that decide it: a merge is only prevented by an earlier
 merge of its last part with what follows, which in turn is only prevented by a still earlier one. The longest such chain is
-computed once; while a word is read, tokens further from its end than that are final and leave the buffer. What the encoder
-holds is so bounded by the vocabulary, not by the word.
+computed once; while a word is read, tokens further from its end than that are final and leave the buffer. A text is read in
+portions that end at white space, and its ids go on to the hash and the decoder as they come. What is held is a portion, or one
+piece between white space where that is longer, and two generations of remembered words and pieces of a fixed size.
 
 Defined cases: a null text encodes as empty; repeated rows get equal rows; a null doc_id is carried along; an empty text has no
 tokens. Columns other than doc_id and text are not looked at.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -31,8 +33,8 @@ WORD_END = "</w>"
 #: White space of the normaliser, by code point (the property White_Space).
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
-#: Pieces between ASCII white space of up to so many bytes are remembered, so many at most.
-MEMO_BYTES, MEMO_PIECES, MEMO_WORDS = 64, 1 << 18, 1 << 17
+#: Pieces and words of up to so many bytes are remembered, so many at most in each of two generations; what is read at once.
+MEMO_BYTES, MEMO_PIECES, PORTION = 32, 1 << 19, 1 << 16
 SHORT_BYTES, NONE = 32, 1 << 40
 
 
@@ -40,6 +42,11 @@ SHORT_BYTES, NONE = 32, 1 << 40
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 
 
+#: The same for lower-case ASCII.
+PLAIN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+SPACE_BYTES = re.compile(r"[\t-\r ]")
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -83,8 +90,7 @@ class StreamingBpe:
         self.lookahead = self._sufficient_lookahead()
         self.ranks = {(a << 16) | b: rank for (a, b), (rank, _) in self.merges.items()}
         self.results = {rank: whole for rank, whole in self.merges.values()}
-        self.memo: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.memo, self.older = {}, {}
         self.path, self.library = path, None
 
     def _sufficient_lookahead(self) -> int:
@@ -141,18 +147,25 @@ class StreamingBpe:
             yield from self._merge([*(self.inner[b] for b in data[at : n - 1]), self.last[data[n - 1]]])
 
     def piece(self, raw: bytes) -> bytes:
-        """Tokens of what stands between white space: normalised to composed lower case, split into words."""
-        if raw.isalpha():  # letters of ASCII are one word as they are
-            return self.whole(raw.lower())
-        if (head := raw[:-1]).isalpha() and raw[-1:] in b".,!;?:":
-            return self.whole(head.lower()) + self.whole(raw[-1:])
-        plain = raw.decode()
-        if not raw.isascii() and "Cn" in map(unicodedata.category, plain):
-            words = self.newest_words(plain)
-        else:
-            text = unicodedata.normalize("NFC", plain).replace("Σ", "σ").lower()
-            words = [match[0].encode() for match in WORD.finditer(text)]
-        return self.whole(words[0]) if len(words) == 1 else b"".join(map(self.whole, words))
+        """Tokens, four bytes each, of what stands between white space, or of one of its words: a word alone is cut no further."""
+        ids = self.older.get(raw)
+        if ids is None:
+            words = [raw.lower()] if raw.isalpha() else PLAIN.findall(raw.lower()) if raw.isascii() else self.split(raw.decode())
+            if words == [raw]:
+                ids = self.tokens(raw)
+            else:
+                ids = b"".join([self.memo.get(word) or self.piece(word) for word in words])
+        if len(raw) <= MEMO_BYTES:
+            if len(self.memo) >= MEMO_PIECES:
+                self.older, self.memo = self.memo, {}
+            self.memo[raw] = ids
+        return ids
+
+    def split(self, plain: str) -> list[bytes]:
+        """Words of a piece: normalised to composed lower case, split by kind of character."""
+        if "Cn" in map(unicodedata.category, plain):
+            return self.newest_words(plain)
+        return [word.encode() for word in WORD.findall(unicodedata.normalize("NFC", plain).replace("Σ", "σ").lower())]
 
     def newest_words(self, plain: str) -> list[bytes]:
         """Words of a piece with code points that Python's tables don't know: the tokenizers library has tables of its own."""
@@ -164,18 +177,11 @@ class StreamingBpe:
         number = {letter: k for k, letter in enumerate(self.letters)}
         return [bytes(map(number.__getitem__, word)) for word, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def whole(self, word: bytes) -> bytes:
-        """Tokens of one word, four bytes each, remembered if short."""
-        ids = self.words.get(word)
-        if ids is None:
-            if len(word) <= SHORT_BYTES:
-                ids = packed(self._merge_short([*map(self.inner.__getitem__, word[:-1]), self.last[word[-1]]]))
-                if len(self.words) >= MEMO_WORDS:
-                    self.words.clear()
-                self.words[word] = ids
-            else:
-                ids = packed(self.word(word))
-        return ids
+    def tokens(self, word: bytes) -> bytes:
+        """Tokens of one word; short ones by scanning, long ones in a stream."""
+        if len(word) <= SHORT_BYTES:
+            return packed(self._merge_short([*map(self.inner.__getitem__, word[:-1]), self.last[word[-1]]]))
+        return packed(self.word(word))
 
     def _merge_short(self, symbols: list[int]) -> list[int]:
         """As _merge, by looking for the lowest rank anew each time; equal ranks are equal pairs, taken from the left."""
@@ -194,30 +200,28 @@ class StreamingBpe:
                 ranks[i - 1] = get((symbols[i - 1] << 16) | symbols[i], none)
         return symbols
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a whole text as unsigned 32-bit integers."""
-        parts: list[bytes] = []
-        if not text:
-            return np.empty(0, np.uint32)
-        memo, at = self.memo, 0
-        special = list(self.special_pattern.finditer(text)) if "<|" in text else []
-        for match in [*special, None]:
-            pieces = text[at : match.start() if match else None].encode().split()
-            known = list(map(memo.get, pieces))
-            if None in known:
-                for k, ids in enumerate(known):
-                    if ids is None:
-                        raw = pieces[k]
-                        known[k] = ids = memo.get(raw) or self.piece(raw)
-                        if len(raw) <= MEMO_BYTES:
-                            if len(memo) >= MEMO_PIECES:
-                                memo.clear()
-                            memo[raw] = ids
-            parts += known
+    def stream(self, text: str | None) -> Iterator[np.ndarray]:
+        """The ids of a whole text as unsigned 32-bit integers, portion by portion."""
+        text, at = text or "", 0
+        for match in [*(self.special_pattern.finditer(text) if "<|" in text else ()), None]:
+            upto = match.start() if match else len(text)
+            while at < upto:
+                cut = SPACE_BYTES.search(text, min(at + PORTION, upto), upto)
+                end = cut.end() if cut else upto
+                raws = text[at:end].encode().split()
+                known = list(map(self.memo.get, raws))
+                if None in known:
+                    known = [ids or self.piece(raw) for ids, raw in zip(known, raws)]
+                yield np.frombuffer(b"".join(known), np.uint32)
+                at = end
             if match:
-                parts.append(packed((self.special[match[0]],)))
+                yield np.array([self.special[match[0]]], np.uint32)
                 at = match.end()
-        return np.frombuffer(b"".join(parts), np.uint32)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a whole text at once."""
+        parts = list(self.stream(text))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
 class Decoder:
@@ -261,27 +265,6 @@ def load(path: str) -> StreamingBpe:
     return StreamingBpe(path)
 
 
-PORTION = 1 << 16
-
-
-def decode_digest(bpe: StreamingBpe, ids: np.ndarray) -> str:
-    decoder, digest = Decoder(bpe), hashlib.sha256()
-    for k in range(0, len(ids), PORTION):
-        digest.update(decoder.feed(ids[k : k + PORTION].tolist()).encode())
-    digest.update(decoder.finish().encode())
-    return digest.hexdigest()
-
-
-def encode_documents(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
-    """doc_id, ids: each whole text as token ids, four little-endian bytes each; one pass, no shuffle."""
-
-    def prepare():
-        bpe = load(tokenizer_path(name))
-        return lambda text: (bpe.encode(text).astype("<u4").tobytes(),)
-
-    return by_text(docs, prepare, "ids binary")
-
-
 def round_trip_digests(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; one pass, no shuffle."""
 
@@ -289,8 +272,13 @@ def round_trip_digests(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
         bpe = load(tokenizer_path(name))
 
         def digests(text: str | None) -> tuple:
-            ids = bpe.encode(text)
-            return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), decode_digest(bpe, ids)
+            decoder, of_ids, of_text, n = Decoder(bpe), hashlib.sha256(), hashlib.sha256(), 0
+            for ids in bpe.stream(text):
+                n += len(ids)
+                of_ids.update(ids.astype("<u4").tobytes())
+                of_text.update(decoder.feed(ids.tolist()).encode())
+            of_text.update(decoder.finish().encode())
+            return n, of_ids.hexdigest(), of_text.hexdigest()
 
         return digests
 

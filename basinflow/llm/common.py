@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinflow.session import ship
-
-#: Rows an Arrow batch may hold, so that Python workers hold a bounded number of whole texts at a time.
-BATCH_ROWS = 1000
+from basinflow.session import scratch, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,16 +17,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Before Python stages: batches of a bounded number of rows, and this package on the executors."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores appended until no column has it (upper and lower case are one)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def portions(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches, whose bytes Spark bounds, in parts of so many rows at most."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
 
 
 def by_text(docs: DataFrame, prepare: Callable[[], Callable[[str | None], tuple]], fields: str) -> DataFrame:
     """doc_id and the fields ("name type, ...") that a function gives for each whole text. prepare() makes that function once
     for each task. One pass without a shuffle; doc_id goes through as it is, null or not."""
-    bounded_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     names = ["doc_id", *(part.split()[0] for part in fields.split(", "))]
     schema = f"doc_id long, {fields}"
 
@@ -45,30 +53,42 @@ def by_text(docs: DataFrame, prepare: Callable[[], Callable[[str | None], tuple]
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where none is set (tests, one machine) a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+_scopes: list[list[str]] = []
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: lineage is cut, and the rows outlive lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote and nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if folder.getName().startswith("table-"):
-            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*made: DataFrame) -> None:
+    """Delete tables that materialize() wrote and nothing reads any more."""
+    for df in made:
+        for file in df.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0]
+            if folder.rsplit("/", 1)[-1].startswith("table-"):
+                _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def discarding(spark: SparkSession):
+    """Deletes at its end whatever materialize() wrote inside; what outlives it must be written by another name or outside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
 
 
 def union_components(edges: DataFrame) -> DataFrame:
@@ -88,13 +108,15 @@ def union_components(edges: DataFrame) -> DataFrame:
         to = points.select(F.col("node").alias("a"), F.col("root").alias("x"))
         half = left.join(to, "a").select("x", "b")
         moved = half.join(to.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").where("x <> y")
-        left = materialize(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        before, left = left, materialize(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        discard(before)
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     whole = rounds[0]
     for later in rounds[1:]:
         step = later.select(F.col("node").alias("root"), F.col("root").alias("end"))
-        whole = materialize(whole.join(step, "root", "left").select("node", F.coalesce("end", "root").alias("root")))
+        before, whole = whole, materialize(whole.join(step, "root", "left").select("node", F.coalesce("end", "root").alias("root")))
+        discard(before, later)
     return whole
 
 
@@ -104,4 +126,5 @@ def _follow(points: DataFrame) -> DataFrame:
         step = points.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("end"))
         if points.join(step, "root", "left_semi").isEmpty():
             return points
-        points = materialize(points.join(step, "root", "left").select("node", F.coalesce("end", "root").alias("root")))
+        before, points = points, materialize(points.join(step, "root", "left").select("node", F.coalesce("end", "root").alias("root")))
+        discard(before)

@@ -1,9 +1,10 @@
 """Sum-of-squares packing of tokenised documents into sequences.
 
 Each task packs its own documents as they come. Full windows of a long document become sequences at once; its rest goes to the
-fill level that keeps the sum of squared counts of partly filled windows smallest. Open windows are kept by fill level. At the
-end of a task, or when open windows hold more than a bound, what is open is joined and cut into full windows; a task's last rest
-is cut into powers of two, which need no padding.
+fill level that keeps the sum of squared counts of partly filled windows smallest. A level is UNIT tokens wide. Windows become
+sequences when they are full; one that has room for less than a level is filled up with the head of the next document, and so is
+the fullest where another one would be opened beyond MOST_OPEN. Only those left at a task's end, MOST_OPEN windows and one at most,
+are joined and cut into full windows; a task's last rest is cut into powers of two, which need no padding.
 
 Defined cases: a null or empty text still has its end token; repeated rows are packed like any others; a null doc_id is carried
 along. The packing depends on how the input is dealt to tasks, so a lost task gives the same rows when run again. Columns other
@@ -12,6 +13,7 @@ than doc_id and text are not looked at.
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,19 +24,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.bpe import MEMO_WORDS, TOKENIZER, StreamingBpe, packed, tokenizer_path
-from basinflow.llm.common import bounded_batches
+from basinflow.llm.bpe import TOKENIZER, StreamingBpe, packed, tokenizer_path
+from basinflow.session import ship
 
 LENGTH, END = 4096, 2
-#: Tokens that open windows may hold in one task.
-OPEN_TOKENS = 1 << 22
+#: Tokens of a fill level, and open windows of a task.
+UNIT, MOST_OPEN = 64, 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequence numbers of one task.
 TASK_SEQUENCES = 1 << 36
 
 
 class LibraryWords(StreamingBpe):
-    """Token ids with the tokenizers library's merges for each word; words and pieces are remembered as in the base class."""
+    """Token ids with the tokenizers library's merges for each word."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -42,14 +44,9 @@ class LibraryWords(StreamingBpe):
         super().__init__(path)
         self.model = Tokenizer.from_file(path).model
 
-    def whole(self, word: bytes) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = packed([t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word)))])
-            if len(self.words) >= MEMO_WORDS:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
+    def tokens(self, word: bytes) -> bytes:
+        letters = word.decode() if word.isalnum() else "".join(map(self.letters.__getitem__, word))
+        return packed([t.id for t in self.model.tokenize(letters)])
 
 
 @lru_cache(maxsize=2)
@@ -61,10 +58,11 @@ def load(path: str) -> LibraryWords:
 class Packer:
     """pack() and finish() yield rows as in SCHEMA, doc_id being whatever stands for the document."""
 
-    def __init__(self, first: int = 0, length: int = LENGTH) -> None:
-        self.length, self.next, self.held = length, first, 0
-        self.levels = np.zeros(length + 1, np.int64)
-        self.open: list[list[list[tuple]]] = [[] for _ in range(length + 1)]
+    def __init__(self, first: int = 0, length: int = LENGTH, unit: int = UNIT, most_open: int = MOST_OPEN) -> None:
+        self.length, self.unit, self.most_open, self.next = length, unit, most_open, first
+        self.levels = [0] * (length // unit + 1)
+        self.open: list[tuple[int, list[tuple]]] = []  # (tokens, pieces), the fullest first
+        self.joined = 0
 
     def _emit(self, pieces: list[tuple]) -> Iterator[tuple]:
         offset = 0
@@ -73,76 +71,71 @@ class Packer:
             offset += len(ids)
         self.next += 1
 
-    def best_level(self, size: int) -> int:
-        """The fill level, 0 for a new window, whose choice raises the sum of squares least; the fullest among equals."""
-        counts, top = self.levels, self.length - size
-        raised = 2 * counts[size : self.length + 1] + 1
-        raised[-1] = 0
-        raised[1:] += 1 - 2 * counts[1 : top + 1]
-        usable = counts[: top + 1] > 0
-        usable[0] = True
-        choices = np.flatnonzero(usable)
-        costs = raised[choices]
-        return int(choices[len(costs) - 1 - np.argmin(costs[::-1])])
+    def best_window(self, size: int) -> int:
+        """The open window, -1 for a new one, whose choice raises the sum of squares least; the fullest among equals."""
+        levels, unit = self.levels, self.unit
+        best, least = -1, 2 * levels[size // unit] + 1
+        for k in range(len(self.open) - 1, -1, -1):
+            filled = self.open[k][0]
+            to = filled + size
+            if to > self.length:
+                break
+            a, b = filled // unit, to // unit
+            raised = 0 if a == b else 1 - 2 * levels[a] + (2 * levels[b] + 1 if self.length - to >= unit else 0)
+            if raised <= least:
+                best, least = k, raised
+        return best
+
+    def _take(self, k: int) -> tuple[int, list[tuple]]:
+        filled, window = self.open.pop(k)
+        self.levels[filled // self.unit] -= 1
+        return filled, window
 
     def pack(self, doc, ids: np.ndarray) -> Iterator[tuple]:
-        total = len(ids)
-        whole = total - total % self.length
-        for at in range(0, whole, self.length):
-            yield from self._emit([(doc, at, ids[at : at + self.length], total)])
-        rest = total - whole
-        if not rest:
-            return
-        level = self.best_level(rest)
-        window = self.open[level].pop() if level else []
-        if level:
-            self.levels[level] -= 1
-            self.held -= level
-        window.append((doc, whole, ids[whole:], total))
-        filled = level + rest
-        if filled == self.length:
-            yield from self._emit(window)
-            return
-        self.open[filled].append(window)
-        self.levels[filled] += 1
-        self.held += filled
-        if self.held > OPEN_TOKENS:
-            yield from self._join(last=False)
-
-    def _join(self, last: bool) -> Iterator[tuple]:
-        windows = [w for level in reversed(self.open) for w in level]
-        self.open, self.held = [[] for _ in range(self.length + 1)], 0
-        self.levels[:] = 0
-        left = sum(len(p[2]) for w in windows for p in w)
-        if not left:
-            return
-        target = min(self.length, left)
-        current, room = [], target
-        if last and target < self.length:
-            room = target = 1 << (target.bit_length() - 1)
-        for doc, start, ids, total in (p for w in windows for p in w):
+        total, start = len(ids), 0
+        while total - start >= self.length:
+            yield from self._emit([(doc, start, ids[start : start + self.length], total)])
+            start += self.length
+        while start < total:
+            size = total - start
+            room = self.length - self.open[0][0] if self.open else self.length
+            at = -1
+            if room < self.unit and size > room:
+                at = 0
+            else:
+                at = self.best_window(size)
+                if at < 0 and len(self.open) >= self.most_open:
+                    at = 0
+            filled, window = self._take(at) if at >= 0 else (0, [])
+            size = min(size, self.length - filled)
+            window.append((doc, start, ids[start : start + size], total))
+            start, filled = start + size, filled + size
+            if filled == self.length:
+                yield from self._emit(window)
+                continue
+            self.levels[filled // self.unit] += 1
+            bisect.insort(self.open, (filled, window), key=lambda w: -w[0])
+
+    def finish(self) -> Iterator[tuple]:
+        """What is still open, joined and cut into full windows, the rest of it into powers of two."""
+        pieces = [p for _, window in self.open for p in window]
+        self.open, self.levels = [], [0] * len(self.levels)
+        left = self.joined = sum(len(p[2]) for p in pieces)
+        current: list[tuple] = []
+        room = min(self.length, 1 << (left.bit_length() - 1)) if left else 0
+        for doc, start, ids, total in pieces:
             while len(ids):
                 part = ids[:room]
                 current.append((doc, start, part, total))
                 start, ids, room, left = start + len(part), ids[len(part) :], room - len(part), left - len(part)
                 if not room:
                     yield from self._emit(current)
-                    current, room = [], self.length
-                    if last and 0 < left < self.length:
-                        room = 1 << (left.bit_length() - 1)
-        if current:
-            filled = sum(len(p[2]) for p in current)
-            self.open[filled].append(current)
-            self.levels[filled] += 1
-            self.held += filled
-
-    def finish(self) -> Iterator[tuple]:
-        yield from self._join(last=True)
+                    current, room = [], min(self.length, 1 << (left.bit_length() - 1)) if left else 0
 
 
 def pack_documents(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
     """Pieces of all documents in sequences of LENGTH tokens; one pass, no shuffle."""
-    bounded_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     columns = [part.split()[0] for part in SCHEMA.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
