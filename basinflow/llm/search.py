@@ -5,12 +5,15 @@ far, divided by the lengths, is the cosine that a vector of the bucket must reac
 query's largest coordinates bound where the vector's coordinates can lie, and only vectors inside all bounds are multiplied; else
 lengths alone bound which part of the bucket can matter. All products that decide are exact integers.
 
-Queries stand in blocks and buckets in groups; each block meets each group in one task, so what moves is packed matrices and at
-most k rows for each query and group.
-
-Defined cases: vectors null or with null or non-finite components take no part; shorter vectors end in zeros; of rows with one
-vec_id the first vector in order counts; a null vec_id takes no part; an empty table gives no rows; ties go to the smaller vec_id.
-Other columns are not looked at. Products must stay below 2**63.
+Queries stand in blocks, buckets in groups by falling length. Every block first meets the group of the longest vectors, which gives
+each query a threshold; then a block meets, one task each, only the groups that are long enough for one of its queries to gain.
+What moves is packed matrices of the narrowest integers, and at most k rows for each query and group. The driver holds one length
+for each group.
+
+Defined cases: vectors null or with null or non-finite components take no part; shorter vectors end in zeros; every row is a
+candidate, also where rows repeat a vec_id, but for those with the query's own vec_id; rows that repeat a query's vec_id share its
+k best; a null vec_id takes no part; an empty table gives no rows; ties go to the smaller vec_id. Other columns are not looked at.
+Products must stay below 2**63.
 """
 
 from __future__ import annotations
@@ -22,22 +25,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import bounded_batches, materialize
+from basinflow.llm.common import materialize
+from basinflow.session import ship
 
 K, QUERY_EVERY = 20, 20
 SCALE = 64
 BUCKET_ROWS, QUERY_ROWS, GROUP_BUCKETS = 2048, 16384, 8
 #: From this local cosine on, coordinates prune better than lengths; so many of the query's largest are used.
 COORDINATE_COSINE, FOCUS = 0.9, 3
-PACKED = "kind string, block long, n long, width long, ids binary, data binary, longest double"
+PACKED = "block long, n long, width long, ids binary, data binary, type string, longest double"
+#: First meeting: the block with its thresholds and the last group it needs, and rows found, which have no block.
+MET = "query_id long, vec_id long, score long, block long, n long, width long, ids binary, data binary, type string, floors binary, upto int"
 
 
 def integer_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, v: array<long>, length: one row for each vec_id that takes part."""
+    """vec_id, v: array<long> of every row that takes part."""
     x = F.col("embedding")
     usable = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     ints = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("long"))
-    return rows.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("v"))
 
 
 def _matrix(vectors: list, width: int) -> np.ndarray:
@@ -47,8 +53,13 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
     return out
 
 
-def _pack(kind: str, rows: int):
-    """Rows of a partition as matrices of at most so many rows, by falling length."""
+def _narrow(data: np.ndarray) -> np.ndarray:
+    most = int(np.abs(data).max(initial=0))
+    return data.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64)
+
+
+def _pack(rows: int):
+    """Rows of a partition as matrices of at most so many rows, in their order; blocks are numbered by partition, then place."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -62,7 +73,8 @@ def _pack(kind: str, rows: int):
             longest = float(np.sqrt((data.astype(float) ** 2).sum(axis=1)).max(initial=0.0))
             block = (TaskContext.get().partitionId() << 32) + made
             made += 1
-            return pd.DataFrame([(kind, block, len(held), width, np.array([i for i, _ in held], np.int64).tobytes(), data.tobytes(), longest)], columns=[p.split()[0] for p in PACKED.split(", ")])
+            data = _narrow(data)
+            return pd.DataFrame([(block, len(held), width, np.array([i for i, _ in held], np.int64).tobytes(), data.tobytes(), data.dtype.str, longest)], columns=_names(PACKED))
 
         for batch in batches:
             for item in zip(batch["vec_id"], batch["v"]):
@@ -76,14 +88,22 @@ def _pack(kind: str, rows: int):
     return pack
 
 
+def _names(ddl: str) -> list[str]:
+    return [part.split()[0] for part in ddl.split(", ")]
+
+
+def _unpacked(row) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row.ids, np.int64), np.frombuffer(row.data, row.type).reshape(int(row.n), int(row.width)).astype(np.int64)
+
+
 class TopK:
     """Best products of a block of queries so far, with the buckets walked through it."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int) -> None:
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None) -> None:
         self.ids, self.queries, self.k = ids, queries, k
         self.lengths = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
         self.best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]  # scores, vec_ids
-        self.floor = np.full(len(ids), -(2.0**62))
+        self.floor = np.full(len(ids), -(2.0**62)) if floor is None else floor.copy()
         self.pruned = {"length": 0, "coordinate": 0, "product": 0}
 
     def _keep(self, row: int, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -96,6 +116,15 @@ class TopK:
         if len(order) == self.k:
             self.floor[row] = scores[order[-1]]
 
+    def need(self) -> float:
+        """The length that a vector must have for any of the queries to gain by it."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return float(np.where(self.floor > 0, self.floor / np.maximum(self.lengths, 1e-300), -1.0).min(initial=np.inf)) * (1 - 1e-9)
+
+    def found(self) -> dict[str, np.ndarray]:
+        sizes = [len(ids) for _, ids in self.best]
+        return {"query_id": np.repeat(self.ids, sizes), "vec_id": np.concatenate([i for _, i in self.best]), "score": np.concatenate([s for s, _ in self.best])}
+
     def bucket(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         width = max(vectors.shape[1], self.queries.shape[1])
         queries, vectors = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (self.queries, vectors))
@@ -149,40 +178,56 @@ class TopK:
 def top_k(rows: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame:
     """query_id, rank, vec_id, score for every query, a row whose vec_id is divisible by `every`, against all other rows."""
     spark = rows.sparkSession
-    bounded_batches(spark)
+    ship(spark)
     vectors = materialize(integer_vectors(rows))
     n = vectors.count()
     length = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c)
     parts = max(1, -(-n // (BUCKET_ROWS * GROUP_BUCKETS)))
-    ordered = vectors.withColumn("length", length).repartitionByRange(parts, F.col("length").desc(), "vec_id").sortWithinPartitions(F.col("length").desc(), "vec_id")
-    buckets = materialize(ordered.select("vec_id", "v").mapInPandas(_pack("bucket", BUCKET_ROWS), PACKED))
+    # A row's place in its file tells rows apart that are equal otherwise.
+    ordered = vectors.withColumn("length", length).withColumn("place", F.monotonically_increasing_id())
+    ordered = ordered.repartitionByRange(parts, F.col("length").desc(), "vec_id", "place").sortWithinPartitions(F.col("length").desc(), "vec_id", "place")
+    buckets = materialize(ordered.select("vec_id", "v").mapInPandas(_pack(BUCKET_ROWS), PACKED).withColumn("group", F.shiftright("block", 32).cast("int")))
     asked = vectors.where(F.col("vec_id") % every == 0)
     q_parts = max(1, -(-n // (every * QUERY_ROWS)))
-    queries = materialize(asked.repartition(q_parts, F.col("vec_id")).mapInPandas(_pack("query", QUERY_ROWS), PACKED))
-    # Every group has buckets of all lengths, longest first: thresholds rise early in each.
-    place = Window.orderBy(F.col("longest").desc(), "block")
-    names = buckets.select("block", "longest").select("block", (F.row_number().over(place) % parts).alias("group"))
-    blocks = queries.select(F.col("block").alias("q_block")).withColumn("q", F.row_number().over(Window.orderBy("q_block")))
-    n_blocks = queries.count()
-    grouped = buckets.join(names, "block").withColumn("q", F.explode(F.sequence(F.lit(1), F.lit(n_blocks)))) if n_blocks else buckets.join(names, "block").withColumn("q", F.lit(0))
-    numbered = queries.join(blocks, queries["block"] == blocks["q_block"]).drop("q_block").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    fields = ["q", "group", "kind", "block", "n", "width", "ids", "data", "longest"]
-    meet = grouped.select(*fields).unionByName(numbered.select(*fields))
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        def of(row) -> tuple[np.ndarray, np.ndarray]:
-            return np.frombuffer(row.ids, np.int64), np.frombuffer(row.data, np.int64).reshape(row.n, row.width)
-
-        found = []
-        for query in part[part["kind"] == "query"].itertuples():
-            best = TopK(*of(query), k)
-            for row in part[part["kind"] == "bucket"].sort_values(["longest", "block"], ascending=[False, True]).itertuples():
-                best.bucket(*of(row))
-            for query_id, (scores, ids) in zip(best.ids, best.best):
-                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(np.int64)
-
-    near = meet.groupBy("q", "group").applyInPandas(walk, "query_id long, vec_id long, score long")
+    queries = materialize(asked.repartition(q_parts, F.col("vec_id")).mapInPandas(_pack(QUERY_ROWS), PACKED))
+    # Groups without rows have no number here; the first is that of the longest vectors.
+    lengths = {r["group"]: r["longest"] for r in buckets.groupBy("group").agg(F.max("longest").alias("longest")).collect()}
+    groups = sorted(lengths)
+    falling = -np.array([lengths[g] for g in groups])
+
+    def walk(part: pd.DataFrame, floors: bool) -> Iterator[TopK]:
+        for query in part[part["group"].isna()].itertuples():
+            best = TopK(*_unpacked(query), k, np.frombuffer(query.floors) if floors else None)
+            for row in part[part["group"].notna()].sort_values("block").itertuples():
+                best.bucket(*_unpacked(row))
+            yield query, best
+
+    def first(key, part):
+        made = []
+        for query, best in walk(part, False):
+            made.append(pd.DataFrame(best.found()))
+            wanted = int(np.searchsorted(falling, -best.need(), side="right"))
+            upto = groups[wanted - 1] if wanted else -1
+            made.append(pd.DataFrame({"block": [query.block], "n": [query.n], "width": [query.width], "ids": [query.ids], "data": [query.data], "type": [query.type], "floors": [best.floor.tobytes()], "upto": [upto]}))
+        return pd.concat(made).reindex(columns=_names(MET)) if made else pd.DataFrame(columns=_names(MET))
+
+    def later(key, part):
+        made = [pd.DataFrame(best.found()) for _, best in walk(part, True)]
+        return pd.concat(made) if made else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+
+    fields = ["q", "block", "n", "width", "ids", "data", "type", "group", "floors"]
+    none = F.lit(None)
+    longest = buckets.where(F.col("group") == (groups[0] if groups else 0)).withColumn("floors", none.cast("binary"))
+    blocks = queries.withColumn("q", F.col("block")).withColumn("group", none.cast("int")).withColumn("floors", none.cast("binary"))
+    together = blocks.select(*fields).unionByName(longest.join(queries.select(F.col("block").alias("q"))).select(*fields))
+    met = materialize(together.groupBy("q").applyInPandas(first, MET))
+    held = met.where("block is not null")
+    head = groups[0] if groups else 0
+    pairs = materialize(held.where(F.col("upto") > head).select(F.col("block").alias("q"), F.explode(F.sequence(F.lit(head + 1), "upto")).alias("g")))
+    asking = held.join(pairs, held["block"] == pairs["q"]).withColumn("group", none.cast("int"))
+    against = buckets.withColumn("floors", none.cast("binary")).join(pairs, F.col("group") == F.col("g"))
+    rest = asking.select(*fields, "g").unionByName(against.select(*fields, "g")).groupBy("q", "g").applyInPandas(later, "query_id long, vec_id long, score long")
+    near = met.where("block is null").select("query_id", "vec_id", "score").unionByName(rest)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
