@@ -4,7 +4,9 @@ A page is cut into blocks at block-level tags. A block is read as hashed tags an
 measures (length, share of link text, place in the page). Both directions of the LSTM pass over all blocks, so that each label
 rests on the whole page. It is fitted here, on TRAIN_PAGES pages chosen by a hash of page_id, towards blocks whose path itself
 names them (an article or main part; menus, headers, footers, asides, forms, adverts, notices, comments); blocks without such
-evidence don't count in fitting. Fitting is deterministic.
+evidence don't count in fitting. Each page is learned twice, once without its names and telling tags, so that text, links and
+context decide where a page names nothing. Fitting is deterministic. Inference keeps no trace and takes pages of like length
+together, CELLS blocks with padding at a time.
 
 Defined cases: null or empty html gives an empty text; a page without a block of main text too; repeated rows get equal rows; a
 null page_id or url is carried along; without any page there is nothing to fit and no rows. Other columns are not looked at.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import bounded_batches
+from basinflow.llm.common import portions
+from basinflow.session import ship
 
 TRAIN_PAGES, EPOCHS, BATCH_PAGES, RATE = 192, 24, 16, 0.02
+#: Pages labelled by one call, and padded blocks at a time.
+TOGETHER, CELLS = 256, 1 << 14
 PATH_WIDTH, WORD_WIDTH, MEASURES, HIDDEN = 48, 24, 6, 12
 WIDTH = PATH_WIDTH + WORD_WIDTH + MEASURES
 
@@ -34,11 +40,17 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 CLOSES_P = "p"
+#: Open tags that a tag ends by itself.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
+#: Attributes up to the tag's end: quotes only count where a value begins; a value without them ends at white space or >.
+ATTRIBUTES = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+"
 MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+(?<=/)>|<({'|'.join(RAW)})(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*+>",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<svg(?=[\s/>]){ATTRIBUTES}(?<=/)>|<({'|'.join(RAW)})(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})>|<[/!?a-zA-Z][^>]*+>",
     re.S | re.I,
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))""", re.I)
+#: Levels that a path names.
+DEPTH = 64
 MAIN = frozenset("article main".split())
 ASIDE_TAGS = frozenset("nav header footer aside form head title button dialog menu".split())
 ASIDE_NAMES = re.compile(
@@ -50,24 +62,31 @@ ASIDE_NAMES = re.compile(
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, link characters) of each block with text, in page order. A path names tags and classes from the root down."""
     out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []  # tags and their paths
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     links, in_link = 0, 0
 
     def end_block() -> None:
         nonlocal links, parts
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                out.append((tuple(x for tag, names in stack if tag not in INLINE for x in (tag, *names.split())), text, min(links, len(text))))
+                out.append((stack[-1][1] if stack else (), text, min(links, len(text))))
         parts, links = [], 0
 
     def add(text: str) -> None:
         nonlocal links
         if text:
+            text = html.unescape(text) if "&" in text else text
             parts.append(text)
             links += len(text) if in_link else 0
 
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     at, page = 0, page or ""
     for match in MARKUP.finditer(page):
         add(page[at : match.start()])
@@ -84,14 +103,20 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         end_block()
         in_link = 0
         if match[2]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if opened[tag]:
+                while pop() != tag:
                     pass
             continue
         if stack and stack[-1][0] == CLOSES_P:
-            stack.pop()
+            pop()
+        while stack and stack[-1][0] in ENDS.get(tag, ()):
+            pop()
         if tag not in VOID and not match[4].rstrip().endswith("/"):
-            stack.append((tag, " ".join(x for m in NAMES.finditer(match[4]) for x in m.groups() if x)))
+            path = stack[-1][1] if stack else ()
+            if len(stack) < DEPTH:
+                path = (*path, tag, *(x for m in NAMES.finditer(match[4]) for names in m.groups() if names for x in names.split()))
+            stack.append((tag, path))
+            opened[tag] += 1
     add(page[at:])
     end_block()
     return out
@@ -104,6 +129,15 @@ def evidence(path: tuple[str, ...]) -> int:
     return 1 if any(x in MAIN for x in path) else -1
 
 
+#: Tags that say nothing of what a block is.
+NEUTRAL = frozenset("html body div section p ul ol li h1 h2 h3 h4 h5 h6 table tbody thead tr td th dl dt dd blockquote pre figure figcaption".split())
+
+
+def unnamed(page: list[tuple[tuple[str, ...], str, int]]) -> list[tuple[tuple[str, ...], str, int]]:
+    """The page with neutral tags alone in its paths."""
+    return [(tuple(x for x in path if x in NEUTRAL), text, links) for path, text, links in page]
+
+
 def _hashed(items, width: int) -> np.ndarray:
     out = np.zeros(width, np.float32)
     for item in items:
@@ -145,11 +179,11 @@ class BlockLabeller:
                 weights[f"{way}b"][HIDDEN : 2 * HIDDEN] = 1.0
         self.w = weights
 
-    def _pass(self, way: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
+    def _pass(self, way: str, x: np.ndarray, mask: np.ndarray, trace: list | None = None) -> np.ndarray:
         steps, pages, _ = x.shape
         h = c = np.zeros((pages, HIDDEN), np.float32)
         inputs = x @ self.w[f"{way}x"] + self.w[f"{way}b"]
-        out, trace = np.empty((steps, pages, HIDDEN), np.float32), []
+        out = np.empty((steps, pages, HIDDEN), np.float32)
         for t in range(steps) if way == "f" else reversed(range(steps)):
             z = inputs[t] + h @ self.w[f"{way}h"]
             gates = _sigmoid(z[:, : 3 * HIDDEN])
@@ -158,19 +192,20 @@ class BlockLabeller:
             new = f * c + i * g
             tanh = np.tanh(new)
             m = mask[t][:, None]
-            trace.append((t, h, c, i, f, o, g, tanh))
+            if trace is not None:
+                trace.append((t, h, c, i, f, o, g, tanh))
             h, c = np.where(m, o * tanh, h), np.where(m, new, c)
             out[t] = h
-        return out, trace
+        return out
 
-    def logits(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
-        passes = {way: self._pass(way, x, mask) for way in "fb"}
-        both = np.concatenate([passes["f"][0], passes["b"][0]], axis=2)
-        return both @ self.w["out"] + self.w["out_b"], both, {way: p[1] for way, p in passes.items()}
+    def logits(self, x: np.ndarray, mask: np.ndarray, traces: dict[str, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        both = np.concatenate([self._pass(way, x, mask, None if traces is None else traces.setdefault(way, [])) for way in "fb"], axis=2)
+        return both @ self.w["out"] + self.w["out_b"], both
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean logistic loss over labels 0 and 1; -1 doesn't count."""
-        logits, both, traces = self.logits(x, mask)
+        traces: dict[str, list] = {}
+        logits, both = self.logits(x, mask, traces)
         counted = mask & (labels >= 0)
         d = np.where(counted, _sigmoid(logits) - labels, 0) / max(1, counted.sum())
         grads = {"out": np.einsum("tp,tph->h", d, both), "out_b": np.array([d.sum()])}
@@ -212,8 +247,11 @@ class BlockLabeller:
         """Whether each block of each page is main text; pages of like length go together."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
-        for at in range(0, len(order), 64):
-            some = order[at : at + 64]
+        while order:
+            n = len(order)
+            while n > 1 and n * len(pages[order[n - 1]]) > CELLS:
+                n = max(1, min(n - 1, CELLS // len(pages[order[n - 1]])))
+            some, order = order[:n], order[n:]
             x, mask, _ = padded([(pages[k], np.zeros(len(pages[k]))) for k in some])
             logits = self.logits(x, mask)[0]
             for column, k in enumerate(some):
@@ -246,20 +284,21 @@ def fit_labeller(pages: DataFrame) -> dict[str, np.ndarray]:
     memo: dict = {}
     cut = [blocks(r["html"]) for r in some]
     labeller = BlockLabeller()
-    labeller.fit([(features(page, memo), np.array([evidence(path) for path, _, _ in page])) for page in cut])
+    labels = [np.array([evidence(path) for path, _, _ in page]) for page in cut]
+    labeller.fit([(features(way(page), memo), marks) for page, marks in zip(cut, labels) for way in (list, unnamed)])
     return labeller.w
 
 
 def extract_main_text(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page; one pass after fitting, no shuffle."""
     spark = pages.sparkSession
-    bounded_batches(spark, 256)
+    ship(spark)
     shared = spark.sparkContext.broadcast(fit_labeller(pages) if weights is None else weights)
     schema = "page_id long, url string, text string, n_chars long"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller, memo = BlockLabeller(shared.value), {}
-        for batch in batches:
+        for batch in portions(batches, TOGETHER):
             cut = [blocks(h.as_py()) for h in batch.column("html")]
             kept = labeller.label([features(page, memo) for page in cut])
             texts = ["\n\n".join(text for (_, text, _), keep in zip(page, marks) if keep) for page, marks in zip(cut, kept)]
