@@ -2,10 +2,12 @@
 
 For each language a suffix automaton of a bounded sample of labelled text is built. A text is cut greedily into longest matches
 with the sample (Ziv-Merhav parsing); the count of phrases times the bits of a pointer into the sample, a symbol, is the cross
-entropy, and the smallest wins. The automata are dense tables, so that many texts walk in step; a long text is walked in
-portions whose phrase counts add up.
+entropy, and the smallest wins. The automata are dense tables, so that many texts walk in step. A long text is walked in portions at
+once; those that began in another state than the portion before ended in are walked again, until all fit: the parse is that of the
+whole text.
 
-Fitting: SAMPLE_DOCS different pieces a language at most (the first by a hash of doc_id), SAMPLE_PIECE symbols of each and SAMPLE_SYMBOLS in all.
+Fitting: SAMPLE_DOCS different pieces a language at most (the first by a hash of doc_id), SAMPLE_PIECE symbols of each, from a place
+anywhere in its text that the hash names, and SAMPLE_SYMBOLS in all.
 Whole texts are parsed. Symbols are lower-case letters, anything else is one space.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0; without labelled rows every text is "und"; ties go to
@@ -22,11 +24,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import bounded_batches
+from basinflow.session import ship
 
 SAMPLE_DOCS, SAMPLE_PIECE, SAMPLE_SYMBOLS = 400, 160, 40_000
 #: Symbols walked in one portion, and portions in step.
-PORTION, TOGETHER = 512, 8192
+PORTION, TOGETHER = 2048, 8192
 UNDETERMINED = "und"
 
 
@@ -98,10 +100,10 @@ class CrossParser:
         self.tables = [suffix_automaton(self.code[texts[x]], len(alphabet) + 1) for x in self.langs]
         self.bits = [math.log2(len(texts[x]) + 1) for x in self.langs]
 
-    def phrases(self, table: np.ndarray, portions: np.ndarray) -> np.ndarray:
-        """Phrases of each row of codes, -1 being past its end."""
+    def walk(self, table: np.ndarray, portions: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each row of codes, -1 being past its end, and the states behind it; begin: those before it."""
         rows = len(portions)
-        state, count = np.zeros(rows, np.int32), np.zeros(rows, np.int64)
+        state, count = begin.astype(np.int32), np.zeros(rows, np.int64)
         width = table.shape[1]
         flat, roots = table.ravel(), table[0]
         for column in portions.T:
@@ -118,7 +120,27 @@ class CrossParser:
                 count[:live] += to < 0
                 to = np.maximum(to, 0)
             state[:live] = to
-        return count + (state > 0)
+        return count, state
+
+    def phrases(self, table: np.ndarray, parts: list[np.ndarray], owner: np.ndarray, n: int) -> np.ndarray:
+        """Phrases of each of n texts, whose portions stand one after the other."""
+        begin, end, count = (np.zeros(len(parts), np.int64) for _ in range(3))
+        follows = np.flatnonzero(np.diff(owner, prepend=-1) == 0)
+        wrong = np.arange(len(parts))
+        while len(wrong):
+            order = sorted(wrong.tolist(), key=lambda i: -len(parts[i]))
+            for at in range(0, len(order), TOGETHER):
+                some = order[at : at + TOGETHER]
+                block = np.full((len(some), len(parts[some[0]])), -1, np.int16)
+                for row, i in enumerate(some):
+                    block[row, : len(parts[i])] = parts[i]
+                count[some], end[some] = self.walk(table, np.asfortranarray(block), begin[some])
+            wrong = follows[begin[follows] != end[follows - 1]]
+            begin[wrong] = end[wrong - 1]
+        last = np.flatnonzero(np.diff(owner, append=-1) != 0)
+        out = np.bincount(owner, count, n) if len(owner) else np.zeros(n)
+        out[owner[last]] += end[last] > 0
+        return out
 
     def classify(self, texts: list[str | None]) -> list[tuple[str, float]]:
         parts, owner, lengths = [], [], np.zeros(len(texts), np.int64)
@@ -130,16 +152,8 @@ class CrossParser:
             for at in range(0, len(found), PORTION):
                 parts.append(found[at : at + PORTION])
                 owner.append(k)
-        costs = np.zeros((len(self.langs), len(texts)))
-        order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
-        for at in range(0, len(order), TOGETHER):
-            some = order[at : at + TOGETHER]
-            block = np.full((len(some), len(parts[some[0]])), -1, np.int16)
-            for row, i in enumerate(some):
-                block[row, : len(parts[i])] = parts[i]
-            block = np.asfortranarray(block)
-            for lang, (table, bits) in enumerate(zip(self.tables, self.bits)):
-                np.add.at(costs[lang], [owner[i] for i in some], self.phrases(table, block) * bits)
+        owner = np.array(owner, np.int64)
+        costs = np.array([self.phrases(table, parts, owner, len(texts)) * bits for table, bits in zip(self.tables, self.bits)]).reshape(len(self.langs), len(texts))
         out = []
         for k in range(len(texts)):
             if not lengths[k] or not self.langs:
@@ -186,9 +200,10 @@ def least_pieces(batches):
 
 def fit(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     """(lang, text) pieces of labelled, not held-out rows: the first SAMPLE_DOCS different pieces a language by the hash of doc_id."""
-    bounded_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    pieces = rows.select("lang", F.xxhash64("doc_id").alias("hash"), F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, 4 * SAMPLE_PIECE).alias("piece"))
+    place = 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - 4 * SAMPLE_PIECE)).cast("int")
+    pieces = rows.select("lang", F.xxhash64("doc_id").alias("hash"), F.col("doc_id").cast("string").alias("doc_id"), F.substring(F.col("text"), place, F.lit(4 * SAMPLE_PIECE)).alias("piece"))
     some = pieces.mapInArrow(least_pieces, "lang string, hash long, doc_id string, piece string").distinct()
     first = Window.partitionBy("lang").orderBy("hash", "doc_id", "piece")
     some = some.withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE_DOCS)
@@ -203,7 +218,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...] | None = None
     import pyarrow as pa
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    bounded_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     samples = fit(docs) if samples is None else samples
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
