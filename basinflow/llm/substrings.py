@@ -4,17 +4,19 @@ A string of LEAST bytes occurs in an earlier document exactly if its smallest 20
 the same surroundings. So texts are cut into runs of windows that share such an anchor, and
 
 1. anchors are dealt by hash; those of one document only are done with,
-2. runs of shared anchors are dealt by anchor with their bytes; equal runs are settled by the smallest doc_id, and the windows of
-   runs that differ are indexed: a batch gets a suffix array (to LEAST bytes), is scanned against the levels before it, and levels
-   of like size merge, so that each window moves a logarithmic number of times,
+2. runs of shared anchors are dealt by anchor with their bytes; equal runs are settled by the smallest doc_id, and runs that differ
+   are indexed: a batch gets a suffix array (of places in its bytes, in order to LEAST bytes), which is merge-scanned against those
+   of the levels before it, and levels of like size merge, so that each suffix moves a logarithmic number of times,
 3. covered ranges go back to their documents.
 
+Settling equal runs first is what keeps this within its limits: most repeats are whole runs, and need no suffix to be sorted.
+
 Before each shuffle a task keeps, of what many of its documents share, one entry and settles the others itself: a passage in a
 third of all documents sends one entry a task. What moves is packed in arrays, by bucket; the number of buckets grows with the
 input, so that each holds a bounded number of bytes.
 
-Defined cases: a null text is empty; a null doc_id is later than all others; rows with one doc_id don't match each other, whatever
-their texts; texts under LEAST bytes stay whole; an empty table gives no rows. Ties need no order: only the smallest doc_id counts.
+Defined cases: a null text is empty; null doc_ids are later than all others, which are below 2**63 - 2**40; rows with one doc_id, or
+with none, don't match each other, whatever their texts; texts under LEAST bytes stay whole; an empty table gives no rows. Ties need no order: only the smallest doc_id counts.
 Other columns are kept by remove_repeats() and not looked at.
 """
 
@@ -27,10 +29,11 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from basinflow.llm.common import bounded_batches
+from basinflow.session import ship
 
 LEAST, ANCHOR = 50, 20
 SPAN = LEAST - ANCHOR + 1
@@ -39,8 +42,10 @@ SEGMENT, SCAN, PLACE_BITS = 1 << 20, 1 << 20, 22
 #: Text bytes for each bucket, and bytes that a task holds before it sends entries.
 BUCKET_BYTES, HOLD_BYTES = 8 << 20, 32 << 20
 LEAST_BUCKETS = 64
-LAST = (1 << 63) - 1
-INDEX_BATCH = 4096
+#: Ids that stand for null begin here, one for each text; they count as one doc_id.
+NULLS, NULL_TEXTS = (1 << 63) - (1 << 40), (1 << 40) - 1
+#: Strings of a batch, and suffixes of a level that are scanned at a time.
+INDEX_BATCH, BLOCK = 4096, 1 << 16
 PLACE = (1 << PLACE_BITS) - 1
 #: Odd multipliers that mix the bytes of an anchor.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -114,48 +119,68 @@ def text_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield scan()
 
 
+def suffixes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The LEAST bytes from each place on; a last byte other than zero keeps trailing zero bytes."""
+    keys = np.ones((len(places), LEAST + 1), np.uint8)
+    keys[:, :LEAST] = np.lib.stride_tricks.sliding_window_view(data, LEAST)[places]
+    return keys.view(f"S{LEAST + 1}").ravel()
+
+
 class SuffixLevels:
-    """Sorted arrays of LEAST-byte suffixes with the smallest doc of each, in levels of geometric sizes."""
+    """Suffix arrays over the bytes of batches, in levels of geometric sizes: (bytes, places in lexical order, smallest docs).
+    Suffixes are told apart to LEAST bytes, and equal ones have one place."""
 
     def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     @staticmethod
-    def _smallest(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
+    def _scan(level: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where sorted suffixes stand among those of a level, and whether the level has them; both are passed once, in blocks."""
+        data, places, _ = level
+        at, same, done = np.full(len(keys), len(places), np.int64), np.zeros(len(keys), bool), 0
+        for begin in range(0, len(places), BLOCK):
+            if done == len(keys):
+                break
+            block = suffixes(data, places[begin : begin + BLOCK])
+            upto = int(np.searchsorted(keys, block[-1], side="right"))
+            found = np.searchsorted(block, keys[done:upto])
+            at[done:upto], same[done:upto] = begin + found, block[found] == keys[done:upto]
+            done = upto
+        return at, same
+
+    def _merged(self, old, new):
+        data, places, docs = old
+        at, same = self._scan(old, suffixes(new[0], new[1]))
+        docs = docs.copy()
+        docs[at[same]] = np.minimum(docs[at[same]], new[2][same])
+        return np.concatenate((data, new[0])), np.insert(places, at[~same], new[1][~same] + len(data)), np.insert(docs, at[~same], new[2][~same])
+
+    def add(self, strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(string, hit) for each window of the strings, in their order: whether it is in a smaller doc of this batch or an
+        earlier one; the batch becomes a level."""
+        lengths = np.array([len(s) for s in strings], np.int64)
+        windows = lengths - LEAST + 1
+        owner = np.repeat(np.arange(len(strings)), windows)
+        first = np.concatenate(([0], np.cumsum(windows)[:-1]))
+        places = (np.cumsum(lengths) - lengths)[owner] + np.arange(len(owner)) - first[owner]
+        data = np.frombuffer(b"".join(strings), np.uint8)
+        keys = suffixes(data, places)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
         new = np.concatenate(([True], keys[1:] != keys[:-1]))
         group = np.empty(len(keys), np.int64)
         group[order] = np.cumsum(new) - 1
-        return keys[new], docs[new], group
-
-    def add(self, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Whether each suffix is in a smaller doc of this batch or an earlier one; the batch becomes a level."""
-        own, smallest, group = self._smallest(keys, docs)
+        starts = np.flatnonzero(new)
+        keys, smallest = keys[starts], np.minimum.reduceat(docs[owner][order], starts)
         known = smallest.copy()
-        for level, owners in self.levels:
-            at = np.minimum(np.searchsorted(level, own), len(level) - 1)
-            known = np.where(level[at] == own, np.minimum(known, owners[at]), known)
-        new = (own, smallest)
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
-            level, owners = self.levels.pop()
-            new = self._smallest(np.concatenate((level, new[0])), np.concatenate((owners, new[1])))[:2]
-        self.levels.append(new)
-        return known[group] < docs
-
-
-def suffix_keys(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, key) of all windows; a last byte other than zero keeps trailing zero bytes."""
-    lengths = np.array([len(s) for s in strings], np.int64)
-    windows = lengths - LEAST + 1
-    owner = np.repeat(np.arange(len(strings)), windows)
-    begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    first = np.concatenate(([0], np.cumsum(windows)[:-1]))
-    places = begins[owner] + np.arange(len(owner)) - first[owner]
-    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(strings), np.uint8), LEAST)
-    keys = np.ones((len(places), LEAST + 1), np.uint8)
-    keys[:, :LEAST] = view[places]
-    return owner, keys.view(f"S{LEAST + 1}").ravel()
+        for level in self.levels:
+            at, same = self._scan(level, keys)
+            known[same] = np.minimum(known[same], level[2][at[same]])
+        made = (data, places[order][starts], smallest)
+        while self.levels and len(self.levels[-1][1]) <= 2 * len(made[1]):
+            made = self._merged(self.levels.pop(), made)
+        self.levels.append(made)
+        return owner, known[group] < docs[owner]
 
 
 # Rows that move: a bucket, what they are, and packed arrays.
@@ -214,7 +239,12 @@ def _text_marks(ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
 
 
 def _ids(table) -> np.ndarray:
-    return table.column("__id").to_numpy(zero_copy_only=False).astype(np.int64)
+    return table.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _order(ids: np.ndarray) -> np.ndarray:
+    """Ids as they are compared: those that stand for null are one."""
+    return np.minimum(ids, NULLS)
 
 
 def _texts(table) -> list[bytes]:
@@ -297,9 +327,9 @@ def _run_entries(buckets: int):
         if not left.num_rows or not right.num_rows:
             return TYPES.empty_table()
         home = key[0].as_py()
-        left = left.sort_by("__id")
+        left = left.sort_by("id")
         texts, ids = _texts(left), _ids(left)
-        marks = _text_marks(ids, texts)
+        marks, ranks = _text_marks(ids, texts), _order(ids)
         shared = np.unique(_pair_hash(_column(right, "docs"), _column(right, "anchors")))
         first: dict[bytes, list] = {}
         covered: list[tuple] = []
@@ -309,7 +339,7 @@ def _run_entries(buckets: int):
             for t, a, b, m in zip(text[some].tolist(), start[some].tolist(), ends.tolist(), anchor[some].tolist()):
                 string = texts[t][a:b]
                 seen = first.setdefault(string, [m])
-                if len(seen) > 1 and ids[seen[1][0]] < ids[t]:
+                if len(seen) > 1 and ranks[seen[1][0]] < ranks[t]:
                     covered.append((t, a, b))
                 else:
                     seen.append((t, a))
@@ -342,12 +372,12 @@ def _covered_ranges(table: pa.Table, buckets: int) -> pa.Table:
     if len(docs):
         buffer = b"".join(_unpack(x.as_py()) for x in entries.column("strings"))
         places = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))).tolist()
-        order = np.argsort(docs, kind="stable")
+        order, ranks = np.argsort(docs, kind="stable"), _order(docs)
         first: dict[bytes, list[int]] = {}
         equal: list[int] = []
         for i in order.tolist():
             seen = first.setdefault(buffer[places[i] : places[i + 1]], [])
-            if seen and docs[seen[0]] < docs[i]:
+            if seen and ranks[seen[0]] < ranks[i]:
                 equal.append(i)
             else:
                 seen.append(i)
@@ -364,8 +394,7 @@ def _covered_ranges(table: pa.Table, buckets: int) -> pa.Table:
         index = SuffixLevels()
         for at in range(0, len(wanted), INDEX_BATCH):
             batch = wanted[at : at + INDEX_BATCH]
-            owner, keys = suffix_keys([strings[i] for i in batch])
-            hit = index.add(keys, docs[lead[batch]][owner])
+            owner, hit = index.add([strings[i] for i in batch], ranks[lead[batch]])
             begin = np.searchsorted(owner, np.arange(len(batch)))
             # Runs of covered windows make one range.
             hits = np.flatnonzero(hit)
@@ -409,7 +438,8 @@ def _digests(left: pa.Table, right: pa.Table) -> pa.Table:
         n_removed.append(int(removed.sum()))
         n_spans.append(int(np.count_nonzero(removed[1:] & ~removed[:-1]) + (len(removed) > 0 and bool(removed[0]))))
         digest.append(hashlib.sha256(_kept(text, removed)).hexdigest())
-    return pa.table({"doc_id": left.column("doc_id").cast(pa.int64()), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
+    ids = pa.array([i if i < NULLS else None for i in _ids(left).tolist()], pa.int64())
+    return pa.table({"doc_id": ids, "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
 
 
 def _cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -417,34 +447,38 @@ def _cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
     for k, text, removed in _removals(left, right):
         if left.column("text")[k].is_valid:
             texts[k] = _kept(text, removed).decode("utf-8", "ignore")
-    left = left.set_column(left.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-    return left.drop_columns(["__id", "__home"])
+    return pa.table({"text": pa.array(texts, pa.string()), "row": left.column("row")})
 
 
-def _covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents with __id and __home, and the covered ranges by home."""
-    bounded_batches(docs.sparkSession)
+def _covered(docs: DataFrame, row: Column) -> tuple:
+    """The documents as id, home, text and row, the covered ranges, each dealt by home. Tasks grow in number with the
+    homes, each of about BUCKET_BYTES, and not in size."""
+    ship(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = next(n for n in count(max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))) if all(n % k for k in range(2, int(n**0.5) + 1)))
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    homed = docs.withColumn("__id", ids).withColumn("__home", F.pmod(ids, F.lit(buckets)).cast("int"))
-    anchors = homed.select("__id", "text").mapInArrow(_anchor_entries(buckets), MOVED)
-    shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors(buckets), MOVED)
-    runs = homed.groupBy("__home").cogroup(shared.groupBy("bucket")).applyInArrow(_run_entries(buckets), MOVED)
-    return homed, runs.groupBy("bucket").applyInArrow(lambda table: _covered_ranges(table, buckets), MOVED)
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULLS) + F.pmod(F.xxhash64("text"), F.lit(NULL_TEXTS)))
+    homed = docs.select(ids.alias("id"), F.pmod(ids, F.lit(buckets)).cast("int").alias("home"), "text", row.alias("row"))
+    dealt = lambda df, by: df.repartition(buckets, by).groupBy(by)
+    anchors = homed.select("id", "text").mapInArrow(_anchor_entries(buckets), MOVED)
+    shared = dealt(anchors, "bucket").applyInArrow(_shared_anchors(buckets), MOVED)
+    runs = dealt(homed, "home").cogroup(dealt(shared, "bucket")).applyInArrow(_run_entries(buckets), MOVED)
+    ranges = dealt(runs, "bucket").applyInArrow(lambda table: _covered_ranges(table, buckets), MOVED)
+    return dealt(homed, "home"), dealt(ranges, "bucket")
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every whole text."""
-    homed, ranges = _covered(docs.select("doc_id", "text"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return homed.groupBy("__home").cogroup(ranges.groupBy("bucket")).applyInArrow(_digests, schema)
+    homed, ranges = _covered(docs, F.lit(0))
+    return homed.cogroup(ranges).applyInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """All columns, the covered bytes gone from text; characters that a cut leaves incomplete go too."""
-    homed, ranges = _covered(docs)
-    return homed.groupBy("__home").cogroup(ranges.groupBy("bucket")).applyInArrow(_cleaned, docs.schema)
+    others = F.struct(*[c for c in docs.columns if c != "text"])
+    homed, ranges = _covered(docs, others)
+    schema = StructType([StructField("text", StringType()), StructField("row", docs.select(others.alias("row")).schema["row"].dataType)])
+    cleaned = homed.cogroup(ranges).applyInArrow(_cleaned, schema)
+    return cleaned.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_suffix_dedup(spark, sf_dir):
