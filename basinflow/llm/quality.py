@@ -16,7 +16,7 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
 #: The verdict of the method: the largest share of a text's characters in words under repeats, and the longest repeat, in words and as a share.
-COVERED_LIMIT, LONGEST_WORDS, LONGEST_SHARE = 0.30, 50, 0.15
+COVERED_LIMIT, LONGEST_WORDS, LONGEST_SHARE = 0.20, 50, 0.15
 FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, covered_fraction double, longest_repeat long"

@@ -6,6 +6,7 @@ doc_id keeps its row, and takes part in its class without naming it. Columns oth
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 from itertools import combinations, repeat
 
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from basinflow.llm.common import bounded_batches, materialize, union_components
+from basinflow.llm.common import materialize, union_components
+from basinflow.session import ship
 
 BLOCKS, BLOCK_BITS = 4, 16
 #: Fingerprints that share a key and are compared pair by pair; larger groups go by one-bit probes, which is as exact.
@@ -35,12 +37,17 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[: len(words) - width] + 1)).tolist()
     ends = ends[width - 1 :].tolist()
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(starts), SLICE):
-        shingles = [joined[a:b] for a, b in zip(starts[k : k + SLICE], ends[k : k + SLICE])]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles))
+    slices = ([joined[a:b] for a, b in zip(starts[k : k + SLICE], ends[k : k + SLICE])] for k in range(0, len(starts), SLICE))
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles)) for shingles in slices)
+
+
+def majority(slices: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in slices:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view(np.uint64)[0])
+        n += len(hashes)
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
 @F.pandas_udf(LongType())
@@ -78,7 +85,7 @@ def near_fingerprints(distinct: DataFrame) -> DataFrame:
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp (long), component_id: classes of texts whose fingerprints link at 2 or fewer differing bits."""
-    bounded_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     prints = materialize(docs.select("doc_id", _fingerprints(F.col("text")).alias("fp")))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = union_components(near_fingerprints(distinct.select("fp")))
