@@ -1,4 +1,5 @@
-"""Views that shape the given tables into gage, weather and attribute tables; the same text runs on Spark and in the SQL oracle."""
+"""Views that shape the given tables into gage, weather and attribute tables. The same text runs on Spark and in the SQL oracle, but
+for the word for exploding an array."""
 
 from __future__ import annotations
 
@@ -32,23 +33,22 @@ select lpad(cast(user_id as string), 8, '0') as site_id, cast(ts as date) as dat
   'P' as qualifiers, timestamp '2024-02-01 00:00:00' as extracted_at
 from events group by user_id, cast(ts as date)
 """,
-    "fx_hours": """
-select distinct date_trunc('hour', ts) as hour_ts from events
+    "fx_site_hours": """
+select user_id, day_ts, explode(sequence(0, 23)) as h from (select distinct user_id, date_trunc('day', ts) as day_ts from events) d
 """,
     "fx_weather_forcing": """
-select s.longitude, s.latitude, h.hour_ts as datetime,
-  ((k.user_id * 7 + hour(h.hour_ts) * 3 + day(h.hour_ts)) % 20) / 4e0 as prcp,
-  ((k.user_id * 5 + hour(h.hour_ts)) % 40) / 2e0 - 5e0 as temp,
-  ((k.user_id + hour(h.hour_ts) * 2) % 101) * 1e0 as humidity,
-  ((k.user_id + day(h.hour_ts)) % 16) / 2e0 as wind_speed,
+select s.longitude, s.latitude, k.day_ts + interval '1' hour * k.h as datetime,
+  ((k.user_id * 7 + k.h * 3 + day(k.day_ts)) % 20) / 4e0 as prcp,
+  ((k.user_id * 5 + k.h) % 40) / 2e0 - 5e0 as temp,
+  ((k.user_id + k.h * 2) % 101) * 1e0 as humidity,
+  ((k.user_id + day(k.day_ts)) % 16) / 2e0 as wind_speed,
   ((k.user_id * 11) % 360) * 1e0 as wind_direction,
-  (hour(h.hour_ts) * 25) * 1e0 as rsds, 300e0 as rlds, 900e0 as psurf,
-  hour(h.hour_ts) / 64e0 as pet, timestamp '2024-02-01 00:00:00' as extracted_at
-from (select distinct user_id from events) k
+  (k.h * 25) * 1e0 as rsds, 300e0 as rlds, 900e0 as psurf,
+  k.h / 64e0 as pet, timestamp '2024-02-01 00:00:00' as extracted_at
+from fx_site_hours k
 join fx_site_metadata s on s.site_id = lpad(cast(k.user_id as string), 8, '0')
-cross join fx_hours h
-where s.latitude is not null and (k.user_id + hour(h.hour_ts) + day(h.hour_ts)) % 11 <> 0
-  and not (k.user_id % 13 = 5 and day(h.hour_ts) = 15)
+where s.latitude is not null and (k.user_id + k.h + day(k.day_ts)) % 11 <> 0
+  and not (k.user_id % 13 = 5 and day(k.day_ts) = 15)
 """,
     "fx_seed_basin": """
 select lpad(cast(c_custkey as string), 8, '0') as staid, c_name as staname, abs(c_acctbal) * 2e0 as drain_sqkm, c_nationkey as huc02,
@@ -149,5 +149,5 @@ def needed(text: str) -> list[str]:
 def oracle(text: str, **more: str) -> str:
     """The text with the views it needs in front, and further named texts after them."""
     whole = " ".join([text, *more.values()])
-    parts = [f"{name} as ({VIEWS[name]})" for name in needed(whole)] + [f"{name} as ({sql})" for name, sql in more.items()]
+    parts = [f"{name} as ({VIEWS[name].replace('explode(sequence(0, 23))', 'unnest(generate_series(0, 23))')})" for name in needed(whole)] + [f"{name} as ({sql})" for name, sql in more.items()]
     return f"with {', '.join(parts)} {text}" if parts else text

@@ -31,26 +31,34 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return moments.select(F.explode(F.array(*rows)).alias("e")).select("e.*")
 
 
-def site_distribution(df: DataFrame, value: str) -> DataFrame:
-    """Box statistics by site: interpolated quartiles, fences at 1.5 times their distance, and the extremes."""
-    q = df.where(F.col(value).isNotNull()).groupBy("site_id").agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+def site_distribution(df: DataFrame, value: str, accuracy: int | None = None) -> DataFrame:
+    """Box statistics by site: interpolated quartiles, fences at 1.5 times their distance, and the extremes. Quartiles hold all
+    different values of a site in its task; with an accuracy they are approximate, of bounded size, and values of the data."""
+    shares = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quartiles = F.percentile_approx(value, shares, accuracy) if accuracy else F.percentile(value, shares)
+    q = df.where(F.col(value).isNotNull()).groupBy("site_id").agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), quartiles.alias("q"))
     q1, q2, q3 = (F.col("q")[i] for i in range(3))
     reach = 1.5 * (q3 - q1)
     return q.select("site_id", "n", "low", q1.alias("q1"), q2.alias("median"), q3.alias("q3"), "high", (q1 - reach).alias("lower_fence"), (q3 + reach).alias("upper_fence"))
 
 
-def map_frames(df: DataFrame, value: str, time: str) -> DataFrame:
-    """A point for each site and time with its value, and the colour range over all points."""
+def map_frames(df: DataFrame, value: str, time: str, path: str | None = None) -> DataFrame:
+    """A point for each site and time with its value, and the colour range over all points. With a path, points are stored there
+    first, so that what makes them runs once."""
     points = df.where(F.col(value) > 0).select("site_id", "latitude", "longitude", F.date_format(time, "yyyy-MM-dd HH:mm:ss").alias("frame"), F.col(value).alias("value"))
+    if path:
+        points.write.parquet(path)
+        points = df.sparkSession.read.schema(points.schema).parquet(path)
     return points.join(points.agg(F.min("value").alias("range_low"), F.max("value").alias("range_high")))
 
 
-def profile_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, nulls, mean, standard deviation, extremes and interpolated quartiles of each column."""
+def profile_columns(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """Count, nulls, mean, standard deviation, extremes and interpolated quartiles of each column; approximate ones with an accuracy."""
+    quantile = (lambda x, q: F.percentile_approx(x, q, accuracy)) if accuracy else (lambda x, q: F.percentile(x, F.lit(q)))
     parts = []
     for c in columns:
         x = F.col(c).cast("double")
-        parts.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("n"), F.count_if(x.isNull()).alias("n_null"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.percentile(x, F.lit(0.25)).alias("q1"), F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(0.75)).alias("q3"), F.max(x).alias("high")).alias(f"s_{c}"))
+        parts.append(F.struct(F.lit(c).alias("column_name"), F.count(x).alias("n"), F.count_if(x.isNull()).alias("n_null"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), quantile(x, 0.25).alias("q1"), quantile(x, 0.5).alias("median"), quantile(x, 0.75).alias("q3"), F.max(x).alias("high")).alias(f"s_{c}"))
     return df.agg(*parts).select(F.explode(F.array(*[F.col(f"s_{c}") for c in columns])).alias("s")).select("s.*")
 
 

@@ -30,13 +30,13 @@ def in_test() -> Column:
 
 def forest(trees: int = 100, depth: int = DEEPEST, min_rows: int = 1) -> Pipeline:
     """Missing features are imputed by their means. A node of min_rows in each child has twice as many rows: Spark has no least
-    size for a split itself."""
+    size for a split itself. Every split looks at all features."""
     filled = [f"{c}_filled" for c in FEATURES]
     return Pipeline(
         stages=[
             Imputer(inputCols=list(FEATURES), outputCols=filled),
             VectorAssembler(inputCols=filled, outputCol="features"),
-            RandomForestRegressor(labelCol=TARGET, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_rows, seed=SEED),
+            RandomForestRegressor(labelCol=TARGET, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_rows, featureSubsetStrategy="all", seed=SEED),
         ]
     )
 
@@ -90,5 +90,6 @@ def prediction_summary(made: DataFrame, since: Column) -> DataFrame:
 
 
 def recent_predictions(made: DataFrame, n: int) -> DataFrame:
-    newest = Window.partitionBy("site_id").orderBy(F.col("predicted_at").desc())
+    """The newest n predictions of each site; of equal times the later version, then the larger prediction, comes first."""
+    newest = Window.partitionBy("site_id").orderBy(F.col("predicted_at").desc(), F.col("model_version").desc(), F.col("prediction").desc())
     return made.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= n).drop("k")

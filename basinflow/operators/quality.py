@@ -18,6 +18,11 @@ def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("n_rows", F.count("*").over(Window.partitionBy(*keys))).where("n_rows > 1")
 
 
+def first_duplicates(df: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
+    """The first n of them by key."""
+    return duplicate_rows(df, keys).orderBy(*keys).limit(n)
+
+
 def null_counts(df: DataFrame, model: str, columns: list[str]) -> DataFrame:
     """(model, column_name, failures) for each column."""
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])

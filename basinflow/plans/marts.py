@@ -90,16 +90,19 @@ def with_targets(df: DataFrame, time: str, suffix: str, strict_step: str | None
     return df
 
 
-def flood_model(hourly: DataFrame, attributes: DataFrame, weather: DataFrame, strict_step: str | None = None) -> DataFrame:
-    """Hours with weather at the attribute table's coordinates, and targets one row ahead.
+def flood_model(flow: DataFrame, attributes: DataFrame, weather: DataFrame, strict_step: str | None = None) -> DataFrame:
+    """Hours with weather, their attributes, and targets one row ahead; flow: hours with the site's coordinates.
 
-    The fact's own weather is dropped here, so only its flow columns are read from a stored fact.
+    The hourly fact joined with weather again would have, of an hour with k weather rows, k * k: each of them k times. Weather is so
+    joined once, with k counted in the join's own partitioning; attributes name the same coordinates as the sites.
     """
-    flow = hourly.select(*[c for c in hourly.columns if c not in WEATHER])
-    named = attributes.select("site_id", F.col("longitude").alias("a_lon"), F.col("latitude").alias("a_lat"), *attribute_columns(soils=False))
-    hours = weather.select(F.col("longitude").alias("a_lon"), F.col("latitude").alias("a_lat"), F.col("observed_at").alias("observation_hour"), *WEATHER)
-    joined = flow.join(named, "site_id").join(hours, ["a_lon", "a_lat", "observation_hour"])
-    return with_targets(joined.select(*flow.columns, *WEATHER, *attribute_columns(soils=False)), "observation_hour", "1h", strict_step)
+    keys = ["longitude", "latitude", "observation_hour"]
+    hours = weather.select("longitude", "latitude", F.col("observed_at").cast("timestamp_ntz").alias("observation_hour"), *WEATHER)
+    hours = hours.withColumn("copies", F.count("*").over(Window.partitionBy(*keys)))
+    named = attributes.select("site_id", *attribute_columns(soils=False))
+    joined = flow.join(hours, keys).join(named, "site_id")
+    joined = joined.select(*flow.columns, *WEATHER, *attribute_columns(soils=False), F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+    return with_targets(joined, "observation_hour", "1h", strict_step)
 
 
 def flood_model_daily(daily: DataFrame, attributes: DataFrame, strict_step: str | None = None, without: DataFrame | None = None) -> DataFrame:

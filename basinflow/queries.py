@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +45,8 @@ class Models(fixtures.Views):
         return marts.fct_streamflow_daily(self.staged("streamflow_daily"), self.dim_sites(), self.staged("weather"))
 
     def flood_model(self) -> DataFrame:
-        return marts.flood_model(self.hourly(), self.attributes(), self.staged("weather"))
+        flow = marts.with_coordinates(marts.hourly_streamflow(self.staged("streamflow")), self.dim_sites())
+        return marts.flood_model(flow, self.attributes(), self.staged("weather"))
 
 
 RAW = {"site_metadata": "fx_site_metadata", "streamflow": "fx_streamflow_15min", "streamflow_daily": "fx_streamflow_daily", "weather": "fx_weather_forcing"}
@@ -148,6 +151,8 @@ def _(m):
 
 # Sources
 
+NOW_LOADED = "2024-02-01 00:00:00"
+
 
 @query("seed_csv_typed", "select staid, staname, drain_sqkm, huc02, state from fx_seed_basin")
 def _(m):
@@ -174,9 +179,31 @@ def _(m):
 
 @query("flatten_json", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
 def _(m):
-    wrapped = m.table("events").select("event_id", F.from_json("props", "k long").alias("properties"))
-    features_ = wrapped.select(F.array(F.struct(F.struct(F.col("event_id"), F.col("properties.k").alias("k")).alias("properties"))).alias("features"))
-    return tables.flatten_features(features_, ["event_id", "k"])
+    """A collection for each customer, with as many features as the customer has events, or none."""
+    feature = F.struct(F.struct("event_id", F.from_json("props", "k long").getField("k").alias("k")).alias("properties"))
+    found = m.table("events").groupBy("user_id").agg(F.collect_list(feature).alias("features"))
+    collections = m.table("customer").select(F.col("c_custkey").alias("user_id")).join(found, "user_id", "full")
+    return tables.flatten_features(collections.select(F.coalesce("features", F.array().cast(found.schema["features"].dataType)).alias("features")), ["event_id", "k"])
+
+
+@query("raw_table", "select cast(user_id as varchar) as site_id, cast(ts as timestamp) as datetime, value as streamflow_cfs, cast(null as double) as gage_height_ft, event_type as qualifiers, timestamp '2024-02-01 00:00:00' as extracted_at from events")
+def _(m):
+    """A landed batch, its columns in another order and one too many, read by the declared schema."""
+    path, at = scratch(m.spark, "raw"), F.lit(NOW_LOADED).cast("timestamp_ntz")
+    landed = m.table("events").select(F.col("value").alias("streamflow_cfs"), F.col("event_type").alias("qualifiers"), F.lit(1).alias("agency"), F.col("ts").alias("datetime"), F.col("user_id").cast("string").alias("site_id"))
+    tables.with_extracted_at(landed, at).write.parquet(path)
+    found = tables.read_raw(m.spark, path, "streamflow_15min")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("datetime", "extracted_at")})
+
+
+@query("materialized_layers", COORDS_SQL, sites=SITES_SQL, hours=HOUR_SQL)
+def _(m):
+    """Staging as views, the mart as a stored table over them."""
+    tables.materialize_model(m.dim_sites(), "layer_dim_sites", as_table=False)
+    tables.materialize_model(marts.hourly_streamflow(m.staged("streamflow")), "layer_hourly", as_table=False)
+    mart = marts.with_coordinates(m.spark.table("layer_hourly"), m.spark.table("layer_dim_sites"))
+    name = f"layer_streamflow_{uuid.uuid4().hex}"
+    return tables.materialize_model(mart, name, as_table=True, path=scratch(m.spark, "layer"))
 
 
 @query("union_batches", "select user_id, ts, value from fx_existing_rows union all select user_id, ts, value from fx_incoming_rows")
@@ -205,6 +232,12 @@ def _(m):
     return ingest.discover_sites(m.site_metadata, "10").select("site_id", "huc_code")
 
 
+@query("discover_series", "select monitoring_location_id, computation_identifier from fx_timeseries_metadata where hydrologic_unit_code like '10%' and computation_identifier = 'Instantaneous'")
+def _(m):
+    """By region and data type, as a catalog's parameters allow."""
+    return ingest.discover_sites(m.timeseries_metadata, "10", "hydrologic_unit_code", F.col("computation_identifier") == "Instantaneous").select("monitoring_location_id", "computation_identifier")
+
+
 FLAGS_SQL = """select site_id, site_id in (select site_id from fx_streamflow_15min) as has_iv,
   site_id in (select site_id from fx_streamflow_daily where date >= date '2024-01-15') as has_daily from fx_site_metadata"""
 
@@ -238,6 +271,13 @@ def _(m):
     return ingest.load_range(incremental.high_watermark(m.streamflow_15min, "datetime"), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
 
 
+@query("load_range_weather", "select date '2024-01-24' as start_date, date '2024-01-31' as end_date, max(datetime) is not null as incremental from fx_streamflow_15min where datetime < timestamp '2020-01-01 00:00:00'")
+def _(m):
+    """Weather lags by a day; nothing is stored before 2020, so a week is loaded."""
+    mark = incremental.high_watermark(m.streamflow_15min.where("datetime < timestamp_ntz'2020-01-01 00:00:00'"), "datetime")
+    return ingest.load_range(mark, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), lag_days=1)
+
+
 KEYS = ["user_id", "ts"]
 NEW_SQL = "select i.user_id, i.ts, i.value from fx_incoming_rows i where not exists (select 1 from fx_existing_rows e where e.user_id = i.user_id and e.ts = i.ts)"
 
@@ -319,6 +359,11 @@ def _(m):
     return quality.duplicate_rows(tables.union_batches([m.existing_rows, m.incoming_rows]).select(*KEYS), KEYS)
 
 
+@query("first_duplicates", "select *, count(*) over (partition by user_id, ts) as n_rows from doubled qualify n_rows > 1 order by user_id, ts limit 10", doubled=DOUBLED_SQL)
+def _(m):
+    return quality.first_duplicates(tables.union_batches([m.existing_rows, m.incoming_rows]).select(*KEYS), KEYS)
+
+
 TESTS = (
     ("stg_site_metadata", "fx_site_metadata", ["site_id"], ["site_id"]),
     ("stg_streamflow", f"(select {select_list('streamflow')} from fx_streamflow_15min)", [], ["site_id", "observed_at"]),
@@ -351,22 +396,28 @@ def _(m):
     return made.select("version", "source", "n_rows", "n_sites", "first_time", "last_time", "size_mb")
 
 
-@query("schema_fingerprint")
+#: Types of the learning table's columns, double where not named.
+FLOOD_TYPES = {"site_id": "string", "observation_hour": "timestamp_ntz", "observation_count": "bigint"} | dict.fromkeys("station_name huc_code is_reference_hcdn2009 geology_class_reedbush geology_desc_hunt".split(), "string")
+FLOOD_COLUMNS = [*"site_id observation_hour latitude longitude".split(), *(f"{c}_{f}" for c in marts.FLOW for f in ("mean", "max", "min")), "observation_count", *marts.WEATHER, *marts.attribute_columns(soils=False), *(f"{c}_target_1h" for c in marts.FLOW)]
+FLOOD_JSON = json.dumps({c: "bigint" if c.startswith("hydroatlas") else FLOOD_TYPES.get(c, "double") for c in FLOOD_COLUMNS}, sort_keys=True)
+
+
+@query("schema_fingerprint", f"select substr(sha256('{FLOOD_JSON}'), 1, 12) as fingerprint, {len(FLOOD_COLUMNS)} as n_columns, count(*) as n_rows from flood", **FLOOD)
 def _(m):
     df = m.flood_model()
     return df.agg(F.count("*").alias("n_rows")).select(F.lit(scalars.schema_fingerprint(df.schema)).alias("fingerprint"), F.lit(len(df.columns)).alias("n_columns"), "n_rows")
 
 
-@query("schema_changed")
+@query("schema_changed", "select 'v1' as version, count(*) as n_rows, true as schema_changed from hours", hours=HOUR_SQL)
 def _(m):
     df = marts.hourly_streamflow(m.staged("streamflow"))
     before = publish.manifest(df.drop("observation_count"), "site_id", "observation_hour", "hourly", "v0").first()
     return publish.manifest(df, "site_id", "observation_hour", "hourly", "v1").select("version", "n_rows", F.lit(publish.schema_changed(df, before)).alias("schema_changed"))
 
 
-@query("versions_to_drop", "select event_id as version from events where event_id % 7 <> 0 and event_type = 'purchase'")
+@query("versions_to_drop", "select event_id as version from events where event_id % 7 <> 0")
 def _(m):
-    versions = m.table("events").where("event_type = 'purchase'").select(F.col("event_id").alias("version"), F.when(F.col("event_id") % 7 == 0, F.array(F.lit("latest"))).alias("aliases"))
+    versions = m.table("events").select(F.col("event_id").alias("version"), F.when(F.col("event_id") % 7 == 0, F.array(F.lit("latest"))).alias("aliases"))
     return publish.versions_to_drop(versions)
 
 
@@ -420,6 +471,15 @@ def _(m):
     return ml.prediction_summary(made, F.lit(NOW).cast("timestamp_ntz") - F.expr("interval 48 hours"))
 
 
+@query(
+    "recent_predictions",
+    "select user_id as site_id, ts as predicted_at, event_type as model_version, value as prediction from events qualify row_number() over (partition by user_id order by ts desc, event_type desc, value desc) <= 3",
+)
+def _(m):
+    made = m.table("events").select(F.col("user_id").alias("site_id"), F.col("ts").alias("predicted_at"), F.col("event_type").alias("model_version"), F.col("value").alias("prediction"))
+    return ml.recent_predictions(made, 3)
+
+
 # Exploration
 
 CORR = ["gage_height_ft_mean", "streamflow_cfs_mean", "precipitation_mm", "temperature_c", "humidity_pct", "drainage_area_sq_km"]
@@ -439,7 +499,7 @@ query(
     """select site_id, latitude, longitude, strftime(observation_hour, '%Y-%m-%d %H:%M:%S') as frame, gage_height_ft_mean as value,
     min(gage_height_ft_mean) over () as range_low, max(gage_height_ft_mean) over () as range_high from flood where gage_height_ft_mean > 0""",
     **FLOOD,
-)(lambda m: explore.map_frames(m.flood_model(), "gage_height_ft_mean", "observation_hour"))
+)(lambda m: explore.map_frames(m.flood_model(), "gage_height_ft_mean", "observation_hour", scratch(m.spark, "points")))
 PROFILE = ["streamflow_cfs_mean", "gage_height_ft_mean", "observation_count"]
 query(
     "profile_columns",

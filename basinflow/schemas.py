@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql.types import StructType
 
+#: Fixed names and types of the raw tables.
 TEXTS = {
     "site_metadata": "site_id string, station_name string, latitude double, longitude double, huc_code string, drainage_area_sq_mi double, state_code string, county_code string, has_iv boolean, has_daily boolean",
     "streamflow_15min": "site_id string, datetime timestamp, streamflow_cfs double, gage_height_ft double, qualifiers string, extracted_at timestamp",
@@ -13,8 +14,6 @@ TEXTS = {
     "predictions": "site_id string, timestamp timestamp, prediction double, model_version string, predicted_at timestamp",
 }
 
-SERIES_VARIABLES = ("prcp", "temp", "humidity", "wind_speed", "wind_direction", "rsds", "rlds", "psurf", "pet")
-
 
 def schema(name: str) -> StructType:
     return StructType.fromDDL(TEXTS[name])

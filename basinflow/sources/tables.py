@@ -58,8 +58,10 @@ def with_extracted_at(df: DataFrame, at) -> DataFrame:
     return df.withColumn("extracted_at", F.lit(at))
 
 
-def replace_table(df: DataFrame, name: str) -> None:
-    df.write.mode("overwrite").saveAsTable(name)
+def replace_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """The whole table anew, in the warehouse or at a path."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def ensure_table(spark: SparkSession, name: str, schema: StructType) -> DataFrame:
@@ -81,10 +83,10 @@ def list_tables(spark: SparkSession, database: str = "default") -> list[str]:
     return [t.name for t in spark.catalog.listTables(database)]
 
 
-def materialize_model(df: DataFrame, name: str, as_table: bool) -> DataFrame:
+def materialize_model(df: DataFrame, name: str, as_table: bool, path: str | None = None) -> DataFrame:
     """A view for staging layers, a stored table for marts."""
     if as_table:
-        replace_table(df, name)
+        replace_table(df, name, path)
     else:
         df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)

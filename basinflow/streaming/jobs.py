@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from basinflow.operators.incremental import insert_new
 
@@ -15,21 +16,28 @@ def landing(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def ingest(stream: DataFrame, target: str, keys: list[str], checkpoint: str, dedupe_batch: bool = True) -> StreamingQuery:
-    """Insert-only append of each micro-batch. A batch writes its own folder, overwriting it if it runs again, so a replay adds
-    nothing; what it compares with are the folders of other batches."""
-    spark = stream.sparkSession
+def stored_batches(target: str, keys: list[str], run, dedupe_batch: bool = True):
+    """A function of a micro-batch and its number that appends the rows whose key no other batch of the target has. A batch writes
+    its own folder, by the name that run() gives and its number, and overwrites it if it runs again."""
 
     def store(batch: DataFrame, number: int) -> None:
-        known = None
-        if number:
-            try:
-                known = spark.read.parquet(target).where(F.col("batch") != number).select(*batch.columns)
-            except Exception as e:  # nothing is stored yet
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                    raise
-        insert_new(known, batch, keys, dedupe_batch=dedupe_batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        own = f"{run()}-{number}"
+        try:
+            schema = StructType([*batch.schema.fields, StructField("batch", StringType())])
+            known = batch.sparkSession.read.schema(schema).parquet(target).where(F.col("batch") != own).select(*batch.columns)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            known = None
+        insert_new(known, batch, keys, dedupe_batch=dedupe_batch).write.mode("overwrite").parquet(f"{target}/batch={own}")
+
+    return store
 
+
+def ingest(stream: DataFrame, target: str, keys: list[str], checkpoint: str, dedupe_batch: bool = True) -> StreamingQuery:
+    """Insert-only append of each micro-batch. Folders are named by the query's id, which is that of its checkpoint: a replay adds
+    nothing, and a new checkpoint, whose numbers begin anew, overwrites nothing."""
+    store = stored_batches(target, keys, lambda: stream.sparkSession.read.json(f"{checkpoint}/metadata").first()["id"], dedupe_batch)
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -12,6 +12,7 @@ from basinflow.functions.scalars import merge_qualifiers, schema_fingerprint
 from basinflow.operators import explore, incremental, ml, publish
 from basinflow.plans import marts
 from basinflow.sources import tables
+from basinflow.streaming import jobs
 
 
 def day(n: int) -> datetime:
@@ -112,3 +113,78 @@ def test_forests_and_grid_are_of_the_reference_size(spark):
     assert inspect.signature(ml.predictions).parameters["trees"].default == 100
     assert inspect.signature(ml.param_search).parameters["trees"].default == (50, 100, 200)
     assert "ml.forest().fit(frame)" in inspect.getsource(queries)
+
+
+def test_ingest_loses_nothing(spark, tmp_path):
+    """Several batches, a new checkpoint over a target with rows, and a batch that runs again."""
+    schema = "k int, v string"
+    land, target = str(tmp_path / "land"), str(tmp_path / "target")
+
+    def put(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(land)
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(land)
+        jobs.ingest(stream, target, ["k"], str(tmp_path / checkpoint)).awaitTermination()
+        return sorted((r.k, r.v) for r in spark.read.parquet(target).collect())
+
+    put((1, "a"), (1, "a"), (2, "b"))
+    put((2, "later"), (3, "c"))
+    first = run("one")
+    assert [k for k, _ in first] == [1, 2, 3]
+    put((4, "d"))
+    assert run("one") == [*first, (4, "d")]
+    put((5, "e"), (1, "z"))
+    assert run("two") == [*first, (4, "d"), (5, "e")]
+    again = jobs.stored_batches(target, ["k"], lambda: "run")
+    for _ in range(2):
+        again(spark.createDataFrame([(6, "f"), (1, "y")], schema), 0)
+    assert sorted((r.k, r.v) for r in spark.read.parquet(target).collect()) == [*first, (4, "d"), (5, "e"), (6, "f")]
+
+
+def test_tables_by_layer(spark, stored, tmp_path):
+    tables.ensure_schema(spark, "layers")
+    for v in (stored, stored.limit(1)):
+        tables.replace_table(v, "layers.readings", str(tmp_path / "readings"))
+        assert spark.table("layers.readings").count() == v.count()
+    assert "readings" in tables.list_tables(spark, "layers")
+    assert tables.materialize_model(stored, "stored_view", as_table=False).count() == 2
+    tables.drop_table(spark, "layers.readings")
+    assert tables.list_tables(spark, "layers").count("readings") == 0
+    assert [f.name for f in tables.with_extracted_at(stored, day(9)).schema][-1] == "extracted_at"
+
+
+def test_features_of_none_one_and_many(spark):
+    rows = spark.createDataFrame([([],), (None,), ([((1,),), ((2,),)],)], "features array<struct<properties: struct<a: int>>>")
+    assert sorted(r.a for r in tables.flatten_features(rows, ["a", "b"]).collect()) == [1, 2]
+
+
+def test_weather_twice_doubles_the_fact_and_squares_in_the_model(spark):
+    hour = datetime(2024, 1, 1, 5)
+    readings = spark.createDataFrame([("a", hour, 1.0, 2.0), ("a", datetime(2024, 1, 1, 6), 1.0, 2.0)], "site_id string, observed_at timestamp_ntz, streamflow_cfs double, gage_height_ft double")
+    sites = spark.createDataFrame([("a", 1.0, 2.0)], "site_id string, latitude double, longitude double")
+    weather = spark.createDataFrame([(2.0, 1.0, hour, p, 0.0, 0.0, 0.0) for p in (1.0, 3.0)], "longitude double, latitude double, observed_at timestamp_ntz, precipitation_mm double, temperature_c double, wind_speed_ms double, humidity_pct double")
+    attributes = sites.select("site_id", *[F.lit(None).cast("string").alias(c) for c in marts.attribute_columns(soils=False)])
+    fact = marts.fct_streamflow_hourly(readings, sites, weather)
+    assert sorted((r.observation_hour.hour, r.precipitation_mm or 0) for r in fact.collect()) == [(5, 1.0), (5, 3.0), (6, 0)]
+    again = fact.select("site_id", "observation_hour", "latitude", "longitude").join(weather.withColumnRenamed("observed_at", "observation_hour"), ["longitude", "latitude", "observation_hour"])
+    model = marts.flood_model(marts.with_coordinates(marts.hourly_streamflow(readings), sites), attributes, weather)
+    assert sorted(r.precipitation_mm for r in model.collect()) == sorted(r.precipitation_mm for r in again.collect()) == [1.0, 1.0, 3.0, 3.0]
+
+
+def test_approximate_quartiles(spark):
+    rows = spark.range(1000).select(F.lit("a").alias("site_id"), F.col("id").cast("double").alias("v"))
+    exact, near = explore.site_distribution(rows, "v").first(), explore.site_distribution(rows, "v", 1000).first()
+    assert abs(exact.median - near.median) <= 2 and near.n == 1000
+    assert abs(explore.profile_columns(rows, ["v"], 1000).first().median - 499.5) <= 2
+
+
+def test_forest_learns_and_repeats_itself(spark):
+    rows = spark.range(600).select(F.concat(F.lit("s"), F.col("id") % 7).alias("site_id"), (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("observation_hour"), ((F.col("id") % 20) * 3.0).alias(ml.TARGET), (F.col("id") % 20).cast("double").alias("precipitation_mm"), *[F.lit(1.0).alias(c) for c in ml.FEATURES[1:]])
+    made = [ml.predictions(rows, 10, 6).orderBy("site_id", "observation_hour").collect() for _ in range(2)]
+    assert made[0] == made[1] and {(r.site_id, r.observation_hour) for r in made[0]} == {(r.site_id, r.observation_hour) for r in rows.where(ml.in_test()).collect()}
+    assert ml.regression_metrics(spark.createDataFrame(made[0]), ml.TARGET, "prediction").first().r2 > 0.9
+    found = ml.param_search(rows, (2, 4), (2, 5), (1,)).collect()
+    assert {(r.trees, r.depth) for r in found} == {(2, 2), (2, 5), (4, 2), (4, 5)} and max(r.r2 for r in found) > 0.8
+    scored = ml.score(ml.forest(4, 4).fit(rows), rows.limit(5), "v1", F.lit(day(1)).cast("timestamp_ntz")).collect()
+    assert len(scored) == 5 and {r.model_version for r in scored} == {"v1"}
