@@ -41,7 +41,7 @@ SPAN = LEAST - ANCHOR + 1
 SEGMENT, SCAN, PLACE_BITS = 1 << 20, 1 << 20, 22
 #: Text bytes for each bucket, and bytes that a task holds before it sends entries.
 BUCKET_BYTES, HOLD_BYTES = 8 << 20, 32 << 20
-LEAST_BUCKETS = 64
+LEAST_BUCKETS = 8
 #: Ids that stand for null begin here, one for each text; they count as one doc_id.
 NULLS, NULL_TEXTS = (1 << 63) - (1 << 40), (1 << 40) - 1
 #: Strings of a batch, and suffixes of a level that are scanned at a time.
