@@ -53,16 +53,24 @@ def by_text(docs: DataFrame, prepare: Callable[[], Callable[[str | None], tuple]
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _scopes: list[list[str]] = []
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: lineage is cut, and the rows outlive lost executors."""
+def materialize(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """Write to the shared folder and read back: lineage is cut, and the rows outlive lost executors. batch_rows: rows of an Arrow
+    batch in this job; the session's setting is put back."""
     spark = df.sparkSession
     path = scratch(spark, "table")
     if _scopes:
         _scopes[-1].append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(ARROW_ROWS, batch_rows)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
