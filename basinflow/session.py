@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
+#: What Python workers and their executors hold of a table at a time.
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def build(master: str | None = None, **conf: str) -> SparkSession:
@@ -24,7 +26,11 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, through Spark's own file server."""
+    """Before Python stages: this package on the executors, once for each application, through Spark's own file server, and Arrow
+    batches of at most BATCH_BYTES. Spark reads that setting when a plan runs, so it stays set for the session."""
+    kept = spark.conf.get(ARROW_BYTES, "")
+    if not kept.isdigit() or int(kept) > BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
     name = "basinflow_package"
     if any(name in str(path) for path in spark.sparkContext._python_includes):
         return
