@@ -24,11 +24,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basinflow.llm.common import portions
 from basinflow.session import ship
 
 SAMPLE_DOCS, SAMPLE_PIECE, SAMPLE_SYMBOLS = 400, 160, 40_000
 #: Symbols walked in one portion, and portions in step.
-PORTION, TOGETHER = 2048, 8192
+PORTION, TOGETHER = 1024, 4096
+#: Texts classified at a time.
+TEXTS = 2000
 UNDETERMINED = "und"
 
 
@@ -225,7 +228,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...] | None = None
 
     def rows(batches):
         parse = parser(shared.value)
-        for batch in batches:
+        for batch in portions(batches, TEXTS):
             found = parse.classify(batch.column("text").to_pylist())
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
