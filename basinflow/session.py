@@ -28,8 +28,8 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
 def ship(spark: SparkSession) -> None:
     """Before Python stages: this package on the executors, once for each application, through Spark's own file server, and Arrow
     batches of at most BATCH_BYTES. Spark reads that setting when a plan runs, so it stays set for the session."""
-    kept = spark.conf.get(ARROW_BYTES, "")
-    if not kept.isdigit() or int(kept) > BATCH_BYTES:
+    kept = re.fullmatch(r"(\d+)b?", spark.conf.get(ARROW_BYTES))
+    if not kept or int(kept[1]) > BATCH_BYTES:
         spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
     name = "basinflow_package"
     if any(name in str(path) for path in spark.sparkContext._python_includes):
