@@ -30,13 +30,14 @@ def in_test() -> Column:
 
 def forest(trees: int = 100, depth: int = DEEPEST, min_rows: int = 1) -> Pipeline:
     """Missing features are imputed by their means. A node of min_rows in each child has twice as many rows: Spark has no least
-    size for a split itself. Every split looks at all features."""
+    size for a split itself. Every split looks at all features. Node ids
+    are kept with the rows, so that deep trees are not sent along for each level."""
     filled = [f"{c}_filled" for c in FEATURES]
     return Pipeline(
         stages=[
             Imputer(inputCols=list(FEATURES), outputCols=filled),
             VectorAssembler(inputCols=filled, outputCol="features"),
-            RandomForestRegressor(labelCol=TARGET, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_rows, featureSubsetStrategy="all", seed=SEED),
+            RandomForestRegressor(labelCol=TARGET, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_rows, featureSubsetStrategy="all", cacheNodeIds=True, seed=SEED),
         ]
     )
 
