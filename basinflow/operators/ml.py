@@ -55,7 +55,7 @@ def regression_metrics(scored: DataFrame, truth: str, prediction: str) -> DataFr
     return sums.select("n", "mae", "rmse", (1 - F.try_divide("sse", F.col("n") * F.col("spread"))).alias("r2"))
 
 
-def param_search(frame: DataFrame, trees=(50, 100, 200), depths=(5, 10, 20), rows=(1, 3, 5), parallelism: int = 2) -> DataFrame:
+def param_search(frame: DataFrame, trees=(50, 100, 200), depths=(5, 10, 20), rows=(1, 3, 5), parallelism: int = 8) -> DataFrame:
     """r2 of each setting of a grid on one validation split; rows 1, 3 and 5 in a leaf stand for splits of 2, 5 and 10 rows at least."""
     pipeline = forest()
     last = pipeline.getStages()[-1]
