@@ -5,6 +5,7 @@ from __future__ import annotations
 from basinflow.llm.bpe import op9_bpe
 from basinflow.llm.html_text import op10_html_text
 from basinflow.llm.language import op8_language
+from basinflow.llm.lines import OP11_SQL, op11_line_dedup
 from basinflow.llm.packing import op5_packing
 from basinflow.llm.pii import op7_pii
 from basinflow.llm.quality import op3_suffix_quality
@@ -26,7 +27,8 @@ QUERIES = {
         op8_language,
         op9_bpe,
         op10_html_text,
+        op11_line_dedup,
     )
 }
 
-SQL = {"op2_topk_search": OP2_SQL, "op4_extendible_hash": OP4_SQL}
+SQL = {"op2_topk_search": OP2_SQL, "op4_extendible_hash": OP4_SQL, "op11_line_dedup": OP11_SQL}
