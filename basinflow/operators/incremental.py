@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basinflow import store
+from basinflow.session import scratch
+
 
 def high_watermark(rows: DataFrame, time: str) -> DataFrame:
     """The latest time, dates as their midnight; null over no rows."""
@@ -45,6 +48,24 @@ def merge_snapshot(local: DataFrame, existing: DataFrame | None, keys: list[str]
     return local.unionByName(existing.join(local.select(*keys), keys, "left_anti").select(*local.columns))
 
 
+def merge_days(spark: SparkSession, local: DataFrame, target: str, keys: list[str], time: str, day: str = "day") -> None:
+    """Merge into a stored target that is partitioned by the day of time, one of the keys. Only days that the local rows touch are
+    read, merged and replaced; all other files stay as they are. The merged days are stored apart first, so that nothing is replaced
+    by rows that are still being read, and a run that ends early can simply be run again."""
+    placed = local.withColumn(day, F.to_date(time))
+    days = [r[0] for r in placed.select(day).distinct().collect()]  # the days that the local rows span
+    merged = placed
+    if store.exists(spark, target):
+        stored = spark.read.schema(placed.schema).parquet(target)
+        touched = F.col(day).isin([d for d in days if d is not None])
+        merged = merge_snapshot(placed, stored.where(touched | F.col(day).isNull() if None in days else touched), keys)
+    draft = scratch(spark, "merged")
+    merged.write.partitionBy(day).parquet(draft)
+    ready = spark.read.schema(placed.schema).parquet(draft)
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(target)
+    store.delete(spark, draft)
+
+
 def merge_policy(local: DataFrame, existing: DataFrame | None, keys: list[str], full_refresh: bool, schema_changed: bool) -> DataFrame:
     """A full refresh or a changed schema replaces the snapshot; else it is merged."""
     return local if full_refresh or schema_changed else merge_snapshot(local, existing, keys)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basinflow.functions.scalars import hashed_share
@@ -83,6 +83,29 @@ def score(model, rows: DataFrame, version: str, at: Column) -> DataFrame:
     return scored.select("site_id", F.col("observation_hour").alias("timestamp"), "prediction", F.lit(version).alias("model_version"), at.alias("predicted_at"))
 
 
+def save_model(model: PipelineModel, root: str, version: str) -> None:
+    """A fitted pipeline under its version, which must be a new one."""
+    model.write().save(f"{root}/{version}")
+
+
+def load_model(root: str, version: str) -> PipelineModel:
+    """A stored pipeline; the session that loads it need not be the one that fitted it."""
+    return PipelineModel.load(f"{root}/{version}")
+
+
+def score_batch(root: str, version: str, rows: DataFrame, at: Column, target: str) -> None:
+    """Predictions of a stored model, appended to a table that is kept by model version and time of prediction. A run at the same
+    time with the same version replaces what it wrote before, so that it can be repeated."""
+    made = score(load_model(root, version), rows, version, at).withColumn("predicted_at", F.date_format("predicted_at", "yyyy-MM-dd HH-mm-ss"))
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_version", "predicted_at").parquet(target)
+
+
+def read_predictions(spark: SparkSession, target: str) -> DataFrame:
+    """All stored predictions; those of one version or time are found by their folders."""
+    kept = "site_id string, timestamp timestamp_ntz, prediction double, model_version string, predicted_at string"
+    return spark.read.schema(kept).parquet(target).withColumn("predicted_at", F.to_timestamp_ntz("predicted_at", F.lit("yyyy-MM-dd HH-mm-ss")))
+
+
 def prediction_summary(made: DataFrame, since: Column) -> DataFrame:
     """Totals of predictions since a time, the latest, and the newest model version."""
     recent = made.where(F.col("predicted_at") >= since)

@@ -66,6 +66,11 @@ def with_coordinates(flow: DataFrame, sites: DataFrame) -> DataFrame:
     return joined.select("site_id", time, "latitude", "longitude", *flow.columns[2:])
 
 
+def with_place(df: DataFrame) -> DataFrame:
+    """A whole number for the coordinates, to deal tables out by; different places seldom share one."""
+    return df.withColumn("place", F.xxhash64("longitude", "latitude"))
+
+
 def fct_streamflow_hourly(readings: DataFrame, sites: DataFrame, weather: DataFrame) -> DataFrame:
     """Hours without weather stay; weather that a place and hour has twice doubles them."""
     hours = weather.select("longitude", "latitude", F.col("observed_at").alias("observation_hour"), *WEATHER)
@@ -95,13 +100,23 @@ def flood_model(flow: DataFrame, attributes: DataFrame, weather: DataFrame, stri
 
     The hourly fact joined with weather again would have, of an hour with k weather rows, k * k: each of them k times. Weather is so
     joined once, with k counted in the join's own partitioning; attributes name the same coordinates as the sites.
+
+    Where both sides have their place as a whole number (with_place), they are joined by it and the hour, and coordinates are compared
+    afterwards: Spark rewrites doubles among join keys, so tables dealt out by coordinates would be shuffled again.
     """
-    keys = ["longitude", "latitude", "observation_hour"]
-    hours = weather.select("longitude", "latitude", F.col("observed_at").cast("timestamp_ntz").alias("observation_hour"), *WEATHER)
-    hours = hours.withColumn("copies", F.count("*").over(Window.partitionBy(*keys)))
+    time = F.col("observed_at").cast("timestamp_ntz").alias("observation_hour")
+    if "place" in flow.columns and "place" in weather.columns:
+        hours = weather.select("place", time, F.col("longitude").alias("w_longitude"), F.col("latitude").alias("w_latitude"), *WEATHER)
+        hours = hours.withColumn("copies", F.count("*").over(Window.partitionBy("place", "observation_hour", "w_longitude", "w_latitude")))
+        off = F.abs(F.col("longitude") - F.col("w_longitude")) + F.abs(F.col("latitude") - F.col("w_latitude"))
+        met, kept = flow.join(hours, ["place", "observation_hour"]).where(off == 0), [c for c in flow.columns if c != "place"]
+    else:
+        keys = ["longitude", "latitude", "observation_hour"]
+        hours = weather.select("longitude", "latitude", time, *WEATHER)
+        hours = hours.withColumn("copies", F.count("*").over(Window.partitionBy(*keys)))
+        met, kept = flow.join(hours, keys), flow.columns
     named = attributes.select("site_id", *attribute_columns(soils=False))
-    joined = flow.join(hours, keys).join(named, "site_id")
-    joined = joined.select(*flow.columns, *WEATHER, *attribute_columns(soils=False), F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+    joined = met.join(named, "site_id").select(*kept, *WEATHER, *attribute_columns(soils=False), F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
     return with_targets(joined, "observation_hour", "1h", strict_step)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from basinflow import fixtures
+from basinflow import fixtures, store
 from basinflow.functions import scalars
 from basinflow.operators import explore, features, incremental, ingest, ml, publish, quality
 from basinflow.plans import marts
@@ -186,6 +186,64 @@ def _(m):
     return tables.flatten_features(collections.select(F.coalesce("features", F.array().cast(found.schema["features"].dataType)).alias("features")), ["event_id", "k"])
 
 
+PAGE = 100
+#: Page 0 is cut off, the features of page 1 lack their code, and one more page has no features.
+LANDED_SQL = f"""select (c_custkey // {PAGE})::int as page, m.monitoring_location_id, m.state_name, case when c_custkey // {PAGE} <> 1 then m.hydrologic_unit_code end as hydrologic_unit_code
+    from fx_monitoring_locations m join customer on m.monitoring_location_id = lpad(c_custkey::varchar, 8, '0')"""
+
+
+def _landed_pages(m):
+    """Feature collections as a catalog service gives them: pages of PAGE features, one in each file, over many lines."""
+    page = F.expr(f"cast(monitoring_location_id as int) div {PAGE}").cast("int")
+    code = F.when(page != 1, F.col("hydrologic_unit_code"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("monitoring_location_id", "state_name", code.alias("hydrologic_unit_code")).alias("properties"))
+    pages = m.monitoring_locations.groupBy(page.alias("page")).agg(F.collect_list(feature).alias("features"))
+    empty = pages.limit(0).schema["features"].dataType
+    pages = pages.union(m.spark.range(1).select(F.lit(-1).alias("page"), F.array().cast(empty).alias("features")))
+    text = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features"), {"pretty": "true"})
+    cut = F.when(F.col("page") == 0, F.expr("substr(body, 1, length(body) div 2)")).otherwise(F.col("body")).alias("value")
+    path = scratch(m.spark, "landed-json")
+    pages.select("page", text.alias("body")).select("page", cut).write.partitionBy("page").text(path)
+    return tables.read_landed_json(m.spark, path, schema("location_pages"), whole_files=True)
+
+
+@query("landed_features", f"select * from ({LANDED_SQL}) where page > 0")
+def _(m):
+    return tables.landed_features(_landed_pages(m), ["monitoring_location_id", "state_name", "hydrologic_unit_code"])
+
+
+@query(
+    "landed_files",
+    f"""select page, count(*) as n_features, count(hydrologic_unit_code) as n_codes, false as is_malformed from ({LANDED_SQL}) where page > 0 group by page
+    union all select -1, 0, 0, false union all select 0, null, null, true""",
+)
+def _(m):
+    """What each file gave; one that does not parse is named, and the others are read."""
+    landed = _landed_pages(m)
+    codes = F.size(F.filter("features", lambda f: f["properties"]["hydrologic_unit_code"].isNotNull())).cast("long")
+    good = tables.well_formed(landed).select("page", F.size("features").cast("long").alias("n_features"), codes.alias("n_codes"), F.lit(False).alias("is_malformed"))
+    none = F.lit(None).cast("long")
+    return good.union(tables.malformed(landed).select("page", none, none, F.lit(True)))
+
+
+@query(
+    "landed_series",
+    """select vec_id::double as longitude, label::double as latitude, make_timestamp((i - 1) * 3600 * 1000000) as datetime, embedding[i]::double as temperature,
+    case when label <> 2 then embedding[i]::double + 1 end as wind
+    from (select vec_id, label, embedding, unnest(generate_series(1, len(embedding))) as i from embeddings where label not in (0, 1))""",
+)
+def _(m):
+    """A response in each line: those of label 0 are cut off, those of label 1 have no hourly block, those of label 2 lack wind."""
+    values = F.transform("embedding", lambda v: v.cast("double"))
+    wind = F.when(F.col("label") != 2, F.transform(values, lambda v: v + 1))
+    block = F.struct(F.lit(0).alias("start"), (F.size("embedding") * 3600).alias("end"), F.lit(3600).alias("step"), values.alias("temperature"), wind.alias("wind"))
+    body = F.to_json(F.struct(F.col("vec_id").cast("double").alias("longitude"), F.col("label").cast("double").alias("latitude"), F.when(F.col("label") != 1, block).alias("hourly")))
+    path = scratch(m.spark, "landed-json")
+    m.table("embeddings").select("label", body.alias("body")).select(F.when(F.col("label") == 0, F.expr("substr(body, 1, length(body) - 9)")).otherwise(F.col("body")).alias("value")).write.text(path)
+    found = tables.landed_series(tables.read_landed_json(m.spark, path, schema("weather_responses")), ["temperature", "wind"])
+    return found.withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
+
+
 @query("raw_table", "select cast(user_id as varchar) as site_id, cast(ts as timestamp) as datetime, value as streamflow_cfs, cast(null as double) as gage_height_ft, event_type as qualifiers, timestamp '2024-02-01 00:00:00' as extracted_at from events")
 def _(m):
     """A landed batch, its columns in another order and one too many, read by the declared schema."""
@@ -224,6 +282,49 @@ def _(m):
     return m.spark.read.parquet(path).where("region = 1").groupBy("region", "n_name").agg(F.count("*").alias("n_sites"))
 
 
+ORDERS_SQL = """select r_name as region, year(o_orderdate)::int as year, o_orderkey, o_totalprice from orders join customer on o_custkey = c_custkey
+    join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"""
+
+
+def orders_by_region_and_year(m, path: str) -> DataFrame:
+    """Orders stored in folders of region and year, read back."""
+    m.table("region").join(m.table("nation"), F.col("n_regionkey") == F.col("r_regionkey")).createOrReplaceTempView("named_nations")
+    rows = m.table("orders").join(m.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(m.spark.table("named_nations"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select("o_orderkey", "o_totalprice", F.col("r_name").alias("region"), F.year("o_orderdate").alias("year"))
+    tables.write_snapshot(rows.repartition("region", "year"), path, ["region", "year"])
+    return m.spark.read.schema(rows.schema).parquet(path)
+
+
+@query("pruned_partitions", f"select year, count(*) as n_orders, round(sum(o_totalprice), 2) as total from ({ORDERS_SQL}) where region = 'ASIA' and year between 1996 and 1997 group by year")
+def _(m):
+    """Folders are chosen by constants before any file is opened."""
+    stored = orders_by_region_and_year(m, scratch(m.spark, "by-year"))
+    return stored.where("region = 'ASIA' and year between 1996 and 1997").groupBy("year").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("pruned_by_join", f"select region, year, count(*) as n_orders from ({ORDERS_SQL}) where region in (select r_name from region where r_name like 'A%') group by region, year")
+def _(m):
+    """Folders are chosen by what another table has, when the query runs."""
+    stored = orders_by_region_and_year(m, scratch(m.spark, "by-year"))
+    named = m.table("region").where(F.col("r_name").startswith("A")).select(F.col("r_name").alias("region"))
+    return stored.join(named, "region").groupBy("region", "year").agg(F.count("*").alias("n_orders"))
+
+
+BUCKETS = 16
+
+
+@query("flood_model_bucketed", "select * from flood", **FLOOD)
+def _(m):
+    """The learning table over stored facts and weather that are dealt out by place and hour: neither is shuffled for the join."""
+    flow = marts.with_coordinates(marts.hourly_streamflow(m.staged("streamflow")), m.dim_sites())
+    hours = m.staged("weather").withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
+    stored = [
+        tables.bucketed(marts.with_place(df), f"bucketed_{name}_{uuid.uuid4().hex}", ["place", time], BUCKETS, scratch(m.spark, "bucketed"))
+        for name, df, time in (("flow", flow, "observation_hour"), ("weather", hours, "observed_at"))
+    ]
+    return marts.flood_model(stored[0], m.attributes(), stored[1])
+
+
 # Ingest and increments
 
 
@@ -301,6 +402,15 @@ def _(m):
     return incremental.merge_snapshot(m.incoming_rows, m.existing_rows, KEYS)
 
 
+@query("merge_by_day", "select * from fx_incoming_rows union all select e.* from fx_existing_rows e where not exists (select 1 from fx_incoming_rows i where e.user_id = i.user_id and e.ts = i.ts)")
+def _(m):
+    """The same into a stored table that is kept by day: two loads, of which the second replaces only its own days."""
+    target = scratch(m.spark, "by-day")
+    for rows in (m.existing_rows, m.incoming_rows):
+        incremental.merge_days(m.spark, rows, target, KEYS, "ts")
+    return m.spark.read.parquet(target).drop("day")
+
+
 @query("merge_policy_full_refresh", "select * from fx_incoming_rows")
 def _(m):
     return incremental.merge_policy(m.incoming_rows, m.existing_rows, KEYS, full_refresh=True, schema_changed=False)
@@ -311,13 +421,15 @@ def _(m):
 query("site_lookup", "select * from sites where site_id = '00000042'", sites=SITES_SQL)(lambda m: m.dim_sites().where(F.col("site_id") == "00000042"))
 
 
-@query(
-    "positive_gage",
-    "select site_id, latitude, longitude, strftime(observation_hour, '%Y-%m-%d %H:%M:%S') as time, gage_height_ft_mean from flood where gage_height_ft_mean > 0",
-    **FLOOD,
-)
-def _(m):
-    return m.flood_model().where("gage_height_ft_mean > 0").select("site_id", "latitude", "longitude", F.date_format("observation_hour", "yyyy-MM-dd HH:mm:ss").alias("time"), "gage_height_ft_mean").orderBy("time", "site_id")
+GAGE_SQL = "select site_id, latitude, longitude, strftime(observation_hour, '%Y-%m-%d %H:%M:%S') as observed_time, gage_height_ft_mean from flood where gage_height_ft_mean > 0"
+
+
+def _gages(m):
+    return m.flood_model().where("gage_height_ft_mean > 0").select("site_id", "latitude", "longitude", F.date_format("observation_hour", "yyyy-MM-dd HH:mm:ss").alias("observed_time"), "gage_height_ft_mean")
+
+
+query("positive_gage", GAGE_SQL, **FLOOD)(_gages)
+query("earliest_gage", f"{GAGE_SQL} order by observed_time, site_id limit 100", **FLOOD)(lambda m: _gages(m).orderBy("observed_time", "site_id").limit(100))
 
 
 query("discharge_between", "select * from hours where streamflow_cfs_mean between 0 and 1000", hours=HOUR_SQL)(lambda m: marts.hourly_streamflow(m.staged("streamflow")).where(F.col("streamflow_cfs_mean").between(0, 1000)))
@@ -415,6 +527,74 @@ def _(m):
     return publish.manifest(df, "site_id", "observation_hour", "hourly", "v1").select("version", "n_rows", F.lit(publish.schema_changed(df, before)).alias("schema_changed"))
 
 
+@query("schema_unchanged", "select 'v1' as version, count(*) as n_rows, false as schema_changed from hours", hours=HOUR_SQL)
+def _(m):
+    """The same columns in another order, and no manifest at all, are no change."""
+    df = marts.hourly_streamflow(m.staged("streamflow"))
+    before = publish.manifest(df.select(*reversed(df.columns)), "site_id", "observation_hour", "hourly", "v0").first()
+    changed = publish.schema_changed(df, before) or publish.schema_changed(df, None)
+    return publish.manifest(df, "site_id", "observation_hour", "hourly", "v1").select("version", "n_rows", F.lit(changed).alias("schema_changed"))
+
+
+#: Both loads name times of Denver, seven hours behind in January.
+UTC_SQL = {
+    "old_rows": "select user_id, ts + interval 7 hour as ts, value from fx_existing_rows",
+    "new_rows": "select user_id, ts + interval 7 hour as ts, value from fx_incoming_rows",
+    "merged": "select * from new_rows union all select o.* from old_rows o where not exists (select 1 from new_rows n where n.user_id = o.user_id and n.ts = o.ts)",
+}
+
+
+def _publish_twice(m, root: str) -> DataFrame:
+    """A first version from texts with a zone, a second from instants; the manifest of the second."""
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" America/Denver"))
+    instant = F.to_utc_timestamp(F.col("ts").cast("timestamp"), "America/Denver")
+    for version, rows, time in (("v1", m.existing_rows, text), ("v2", m.incoming_rows, instant)):
+        made = publish.publish(m.spark, rows.withColumn("ts", time), root, version, KEYS, "user_id", "ts", source="readings")
+    return made
+
+
+@query(
+    "publish_manifest",
+    "select 'v2' as version, 'readings' as source, count(*) as n_rows, count(distinct user_id) as n_sites, min(ts) as first_time, max(ts) as last_time, true as size_is_that_of_the_folder from merged",
+    **UTC_SQL,
+)
+def _(m):
+    """Size and files of the manifest are compared with the listed folder."""
+    root = scratch(m.spark, "published")
+    made = _publish_twice(m, root)
+    listed = store.files(m.spark, f"{root}/v2/data").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("b")).first()
+    right = (F.col("n_files") == listed["n"]) & (F.col("size_bytes") == listed["b"]) & (F.col("size_mb") == F.round(F.lit(listed["b"] / (1 << 20)), 2))
+    return made.select("version", "source", "n_rows", "n_sites", "first_time", "last_time", right.alias("size_is_that_of_the_folder"))
+
+
+@query("published_rows", "select * from merged", **UTC_SQL)
+def _(m):
+    """The rows of the version that the alias names after two runs."""
+    root = scratch(m.spark, "published")
+    _publish_twice(m, root)
+    return publish.read_version(m.spark, root, publish.aliased(m.spark, root))
+
+
+@query(
+    "retained_versions",
+    """select 'v2' as version, 'best' as alias, count(*) as n_rows from events where ts < timestamp '2024-01-15 00:00:00'
+    union all select 'v4', 'latest', count(*) from events""",
+)
+def _(m):
+    """Of four versions one has an alias of its own and one is the latest; the others are deleted, and a folder without a manifest is
+    no version."""
+    root, events = scratch(m.spark, "published"), m.table("events")
+    for k in (1, 2, 3, 4):
+        rows = events if k == 4 else events.where(F.col("ts") < F.lit(f"2024-01-{5 * k + 5} 00:00:00").cast("timestamp_ntz"))
+        publish.publish(m.spark, rows, root, f"v{k}", ["event_id"], "user_id", "ts", full_refresh=True)
+    publish.set_alias(m.spark, root, "best", "v2")
+    tables.write_snapshot(events.limit(1), f"{root}/v5/data")
+    publish.retire(m.spark, root)
+    left = publish.versions(m.spark, root).collect()
+    counts = [publish.read_version(m.spark, root, r.version).agg(F.lit(r.version).alias("version"), F.lit(a).alias("alias"), F.count("*").alias("n_rows")) for r in left for a in r.aliases]
+    return tables.union_batches(counts)
+
+
 @query("versions_to_drop", "select event_id as version from events where event_id % 7 <> 0")
 def _(m):
     versions = m.table("events").select(F.col("event_id").alias("version"), F.when(F.col("event_id") % 7 == 0, F.array(F.lit("latest"))).alias("aliases"))
@@ -462,6 +642,31 @@ def _(m):
     return ml.score(model, features.last_hours(frame, "observation_hour", 24), "v1", F.lit(NOW).cast("timestamp_ntz"))
 
 
+@query(
+    "scored_rows",
+    f"""select site_id, observation_hour as timestamp, version as model_version, timestamp '{NOW}' as predicted_at, true as within_truth
+    from frame, (select unnest(['v1', 'v2']) as version) where observation_hour > (select max(observation_hour) from frame) - interval 24 hour""",
+    **HOURLY,
+    frame=FRAME_SQL,
+)
+def _(m):
+    """A model is fitted and stored once under two versions, each loaded to score the last day; what was written is read back. Every
+    prediction of a forest lies within what it was fitted on. The smallest forest of the parameter grid does for that."""
+    root, target, at = scratch(m.spark, "models"), scratch(m.spark, "predictions"), F.lit(NOW).cast("timestamp_ntz")
+    path = scratch(m.spark, "frame")
+    ml.training_frame(m.hourly()).write.parquet(path)
+    frame = m.spark.read.parquet(path)
+    model = ml.forest(50, 5).fit(frame)
+    low, high = frame.agg(F.min(ml.TARGET), F.max(ml.TARGET)).first()
+    recent = features.last_hours(frame, "observation_hour", 24)
+    for version in ("v1", "v2"):
+        ml.save_model(model, root, version)
+        ml.score_batch(root, version, recent, at, target)
+    ml.score_batch(root, "v2", recent, at, target)  # a repeated run adds nothing
+    found = ml.read_predictions(m.spark, target)
+    return found.select("site_id", "timestamp", "model_version", "predicted_at", F.col("prediction").between(low, high).alias("within_truth"))
+
+
 @query(
     "prediction_summary",
     f"select count(*) as n_predictions, count(distinct user_id) as n_sites, max(ts) as latest, arg_max(event_type, (ts, event_type)) as model_version from events where ts >= timestamp '{NOW}' - interval 48 hour",
@@ -494,6 +699,37 @@ query(
     from (select site_id, count(*) as n, min(gage_height_ft_mean) as low, max(gage_height_ft_mean) as high, quantile_cont(gage_height_ft_mean, [0.25, 0.5, 0.75]) as q from hours where gage_height_ft_mean is not null group by 1)""",
     hours=HOUR_SQL,
 )(lambda m: explore.site_distribution(marts.hourly_streamflow(m.staged("streamflow")), "gage_height_ft_mean").withColumns({c: F.round(c, 12) for c in ("lower_fence", "upper_fence")}))
+#: Share of a site's values by which the rank of a sketched quartile may be off.
+RANK_ERROR = 0.02
+
+
+@query("sketched_distribution", "select site_id, count(*) as n, min(gage_height_ft_mean) as low, max(gage_height_ft_mean) as high, true as ranks_are_close from hours where gage_height_ft_mean is not null group by 1", hours=HOUR_SQL)
+def _(m):
+    """Box statistics from stored sketches of each site's days; the ranks of the quartiles are counted in the data."""
+    hours, path = marts.hourly_streamflow(m.staged("streamflow")), scratch(m.spark, "sketches")
+    explore.quantile_sketches(hours, "gage_height_ft_mean", "observation_hour").write.parquet(path)
+    found = explore.merged_distribution(m.spark.read.parquet(path))
+    return found.join(_ranks(hours, found, "gage_height_ft_mean", "site_id"), "site_id").select("site_id", "n", "low", "high", "ranks_are_close")
+
+
+@query("sketched_profile", "select count(value) as n, min(value) as low, max(value) as high, true as ranks_are_close from events")
+def _(m):
+    """The same over all rows, from sketches of each event type's days."""
+    events = m.table("events").withColumn("all", F.lit(1))
+    found = explore.merged_distribution(explore.quantile_sketches(events, "value", "ts", ("event_type",)), ()).withColumn("all", F.lit(1))
+    return found.join(_ranks(events, found, "value", "all"), "all").select("n", "low", "high", "ranks_are_close")
+
+
+def _ranks(df: DataFrame, found: DataFrame, value: str, key: str) -> DataFrame:
+    """Whether each quartile's exact rank, that of equal values as a range, is close to its share."""
+    known = df.where(F.col(value).isNotNull()).join(found.select(key, "q1", "median", "q3"), key)
+    close = []
+    for q, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        below, upto = (F.avg(x.cast("double")) for x in (F.col(value) < F.col(q), F.col(value) <= F.col(q)))
+        close.append((below <= share + RANK_ERROR) & (upto >= share - RANK_ERROR))
+    return known.groupBy(key).agg((close[0] & close[1] & close[2]).alias("ranks_are_close"))
+
+
 query(
     "map_frames",
     """select site_id, latitude, longitude, strftime(observation_hour, '%Y-%m-%d %H:%M:%S') as frame, gage_height_ft_mean as value,
@@ -583,7 +819,10 @@ query("inference_window", "select event_id, user_id, ts, value from events where
 
 def _events(m):
     found = m.table("events")
-    stream = jobs.landing(m.spark, f"{m.sf_dir}/events.parque[t]", found.schema)  # a glob may name a file or a folder
+    return _readings(jobs.landing(m.spark, f"{m.sf_dir}/events.parque[t]", found.schema))  # a glob may name a file or a folder
+
+
+def _readings(stream: DataFrame) -> DataFrame:
     site = F.lpad(F.col("user_id").cast("string"), 8, "0").alias("site_id")
     flow = F.when(F.col("event_type") != "error", F.col("value")).alias("streamflow_cfs")
     return stream.select(site, F.col("ts").cast("timestamp").alias("observed_at"), flow, (F.col("value") / 64).alias("gage_height_ft"))
@@ -605,7 +844,8 @@ READ_SQL = "select site_id, datetime as observed_at, streamflow_cfs, gage_height
 
 @query("stream_ingest", READ_SQL)
 def _(m):
-    return _naive(_finished(m, lambda target, at: jobs.ingest(_events(m), target, ["site_id", "observed_at"], at)).drop("batch"))
+    """The target is kept by day: a micro-batch is compared with its own days."""
+    return _naive(_finished(m, lambda target, at: jobs.ingest(_events(m), target, ["site_id", "observed_at"], at, time="observed_at")).drop(jobs.BATCH, jobs.DAY))
 
 
 @query("stream_hourly", "select site_id, observation_hour, streamflow_cfs_mean, gage_height_ft_mean, observation_count from hours", hours=HOUR_SQL)
@@ -613,6 +853,35 @@ def _(m):
     return _finished(m, lambda target, at: jobs.run_to_table(jobs.hourly(_events(m), "observed_at"), target, at, "complete"))
 
 
+def stream_in_loads(m, target: str, lateness: str = "2 days") -> list:
+    """Readings land in three loads, each followed by a run from the same checkpoint: those before the 16th, those since, and last
+    the readings without discharge of any time, most of them too late. Final hours are appended. Returns the ended runs."""
+    land, checkpoint, runs = scratch(m.spark, "landing"), scratch(m.spark, "stream-checkpoint"), []
+    late, half = F.col("event_type") == "error", F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    events = m.table("events")
+    for load in (~late & half, ~late & ~half, late):
+        events.where(load).write.mode("append").parquet(land)
+        stream = _readings(jobs.landing(m.spark, land, events.schema))
+        running = jobs.run_to_table(jobs.hourly(stream, "observed_at", lateness), target, checkpoint)
+        running.awaitTermination()
+        runs.append(running)
+    return runs
+
+
+@query(
+    "stream_hourly_append",
+    """select lpad(user_id::varchar, 8, '0') as site_id, date_trunc('hour', ts) as observation_hour, avg(case when event_type <> 'error' then value end) as streamflow_cfs_mean,
+    avg(value / 64) as gage_height_ft_mean, count(*) as observation_count
+    from events, (select max(ts) filter (event_type <> 'error') - interval 2 day as second, max(ts) - interval 2 day as last from events)
+    where (event_type <> 'error' or date_trunc('hour', ts) + interval 1 hour > second) and date_trunc('hour', ts) + interval 1 hour <= last group by 1, 2""",
+)
+def _(m):
+    """Hours below the watermark, each once; hours above it are withheld and readings that come after it are dropped."""
+    target = scratch(m.spark, "stream")
+    stream_in_loads(m, target)
+    return m.spark.read.parquet(target)
+
+
 @query("stream_dedup", f"select distinct * from ({READ_SQL})")
 def _(m):
     return _naive(_finished(m, lambda target, at: jobs.run_to_table(jobs.distinct_readings(_events(m), ["site_id", "observed_at"], "observed_at"), target, at)))

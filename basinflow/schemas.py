@@ -11,6 +11,8 @@ TEXTS = {
     "streamflow_daily": "site_id string, date date, streamflow_cfs_mean double, gage_height_ft_mean double, qualifiers string, extracted_at timestamp",
     "weather_forcing": "longitude double, latitude double, datetime timestamp, prcp double, temp double, humidity double, wind_speed double, wind_direction double, rsds double, rlds double, psurf double, pet double, extracted_at timestamp",
     "seed_basin": "staid string, staname string, drain_sqkm double, huc02 int, lat_gage double, lng_gage double, state string, hcdn_2009 string, hbn36 string",
+    "location_pages": "type string, features array<struct<properties: struct<monitoring_location_id: string, state_name: string, hydrologic_unit_code: string>>>",
+    "weather_responses": "longitude double, latitude double, hourly struct<start: bigint, end: bigint, step: bigint, temperature: array<double>, wind: array<double>>",
     "predictions": "site_id string, timestamp timestamp, prediction double, model_version string, predicted_at timestamp",
 }
 

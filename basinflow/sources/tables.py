@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from basinflow.schemas import schema as declared
 
@@ -49,6 +49,57 @@ def flatten_features(df: DataFrame, fields: Iterable[str], column: str = "featur
     return rows.select(*[(F.col(f"feature.properties.{f}") if f in known else F.lit(None).cast("string")).alias(f) for f in fields])
 
 
+#: Holds the text of what does not parse by the schema.
+CORRUPT = "_corrupt_record"
+
+
+def read_landed_json(spark: SparkSession, path: str, schema: StructType, whole_files: bool = False) -> DataFrame:
+    """Landed responses by a declared schema, one in each line (blank ones aside), or one in each file over any number of lines. What
+    is no JSON or does not fit has its text in CORRUPT; fields that a response lacks are null. Folders named key=value give columns.
+    Texts are parsed with the whole schema whatever is read later, so that what counts as malformed does not depend on it."""
+    texts = spark.read.text(path, wholetext=whole_files)
+    if not whole_files:
+        texts = texts.where(F.trim("value") != "")
+    kept = StructType([*schema.fields, StructField(CORRUPT, StringType())])
+    parsed = texts.withColumn("parsed", F.from_json("value", kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    corrupt = F.when(F.col("parsed").isNull(), F.col("value")).otherwise(F.col(f"parsed.{CORRUPT}"))
+    folders = [c for c in texts.columns if c != "value"]
+    return parsed.select(*folders, *[F.col(f"parsed.{f.name}").alias(f.name) for f in schema.fields], corrupt.alias(CORRUPT))
+
+
+def well_formed(landed: DataFrame) -> DataFrame:
+    return landed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def malformed(landed: DataFrame) -> DataFrame:
+    return landed.where(F.col(CORRUPT).isNotNull())
+
+
+def landed_features(landed: DataFrame, fields: Iterable[str]) -> DataFrame:
+    """One row for each feature of the well-formed collections, with what their folders say; empty collections give none."""
+    rows = well_formed(landed)
+    kept = [c for c in rows.columns if c not in ("type", "features")]
+    return rows.select(*kept, F.explode("features").alias("feature")).select(*kept, *[F.col(f"feature.properties.{f}").alias(f) for f in fields])
+
+
+def landed_series(landed: DataFrame, variables: Iterable[str], keys: Iterable[str] = ("longitude", "latitude")) -> DataFrame:
+    """Rows of the well-formed responses' hourly blocks; a response without a block, or with one that names no time, gives none. A
+    variable that a response lacks is null in its rows, as long as another one has values."""
+    rows = well_formed(landed)
+    blocks = rows.select(*keys, "hourly.start", "hourly.end", "hourly.step", *[F.col(f"hourly.{v}").alias(v) for v in variables])
+    longest = F.greatest(F.lit(0), *[F.coalesce(F.size(v), F.lit(0)) for v in variables])
+    filled = {v: F.coalesce(v, F.array_repeat(F.lit(None).cast(blocks.schema[v].dataType.elementType), longest)) for v in variables}
+    return unpack_series(blocks.withColumns(filled), variables, keys)
+
+
+def bucketed(df: DataFrame, name: str, by: list[str], buckets: int, path: str | None = None) -> DataFrame:
+    """A stored table whose files are dealt out by the hash of some columns and sorted by them, so that joins and groups by these
+    need no shuffle. Tables to be joined need equal numbers of buckets. Rows are dealt out first: one file for each bucket."""
+    writer = df.repartition(buckets, *by).write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def union_batches(batches: Iterable[DataFrame]) -> DataFrame:
     """All rows by column name; columns that a batch lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)
