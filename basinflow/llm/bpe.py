@@ -147,19 +147,31 @@ class StreamingBpe:
             yield from self._merge([*(self.inner[b] for b in data[at : n - 1]), self.last[data[n - 1]]])
 
     def piece(self, raw: bytes) -> bytes:
-        """Tokens, four bytes each, of what stands between white space, or of one of its words: a word alone is cut no further."""
+        """Tokens, four bytes each, of what stands between white space."""
         ids = self.older.get(raw)
         if ids is None:
             words = [raw.lower()] if raw.isalpha() else PLAIN.findall(raw.lower()) if raw.isascii() else self.split(raw.decode())
-            if words == [raw]:
-                ids = self.tokens(raw)
-            else:
-                ids = b"".join([self.memo.get(word) or self.piece(word) for word in words])
-        if len(raw) <= MEMO_BYTES:
+            ids = self.tokens(raw) if words == [raw] else b"".join(map(self.part, words))
+        self._remember(raw, ids)
+        return ids
+
+    def part(self, word: bytes) -> bytes:
+        """Tokens of one word of a piece. An ASCII word as a piece is cut no further; others are normalised already, and must not be
+        again, so they have keys of their own: no text has the byte 255."""
+        if word.isascii():
+            return self.memo.get(word) or self.piece(word)
+        key = b"\xff" + word
+        ids = self.memo.get(key)
+        if ids is None:
+            ids = self.older.get(key) or self.tokens(word)
+            self._remember(key, ids)
+        return ids
+
+    def _remember(self, key: bytes, ids: bytes) -> None:
+        if len(key) <= MEMO_BYTES:
             if len(self.memo) >= MEMO_PIECES:
                 self.older, self.memo = self.memo, {}
-            self.memo[raw] = ids
-        return ids
+            self.memo[key] = ids
 
     def split(self, plain: str) -> list[bytes]:
         """Words of a piece: normalised to composed lower case, split by kind of character."""
