@@ -3,10 +3,15 @@
 SimHash comes first: fingerprints of the five-word shingles that are equal, or that the pigeonhole blocks of simhash.py find within 2
 bits, propose pairs. Two bits of 64 mean a similarity of about 0.99, and no block of a fingerprint is left alone at 0.8, where about
 10 bits differ. So MinHash signatures cut into BANDS bands of ROWS propose the others: a pair at similarity s shares a band with
-probability 1 - (1 - s^ROWS)^BANDS, which is 0.9996 at 0.8. Of a proposed pair the fingerprints are compared first: over CLOSE_BITS differing
-bits are five standard deviations above what 0.8 leads to. Then it is verified on the shingles themselves. In a band's bucket every
-text is compared with the smallest; where that leaves several classes, all pairs across classes are, or in buckets of over PAIRWISE
-texts, each text with one more of the bucket in each of ROUNDS rounds.
+probability 1 - (1 - s^ROWS)^BANDS, which is 0.9996 at 0.8. Of a proposed pair the numbers of shingles are compared first, then, of
+sets of MANY shingles or more, the fingerprints: over CLOSE_BITS differing bits are five standard deviations above what 0.8 leads to.
+Then it is verified on the shingles themselves.
+
+In a band's bucket every text is compared with the smallest; where that leaves several classes, all pairs across classes are, or in
+buckets of over PAIRWISE texts, each text with one more of the bucket in each of ROUNDS rounds. Crowded buckets that still hold
+several classes then go through a join on rare shingles (crowded_pairs), which misses no pair among their texts and makes none whose
+first shared shingle comes too late: texts of one template that are just not alike enough have all that they share behind what tells
+them apart.
 
 Defined cases: texts are alike by their lower-case (ASCII) words; a text of fewer than five words is one shingle; null and
 word-less texts have none and are copies of each other; equal texts are told by XXH64. Columns other than doc_id and text are only
@@ -15,12 +20,13 @@ looked at to choose between rows that repeat both.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
@@ -29,7 +35,9 @@ from basinflow.llm.simhash import majority, near_fingerprints
 from basinflow.session import ship
 
 WIDTH, PERCENT = 5, 80
-BANDS, ROWS, PAIRWISE, ROUNDS, CLOSE_BITS = 20, 5, 64, 4, 24
+BANDS, ROWS, PAIRWISE, ROUNDS, CLOSE_BITS, MANY = 20, 5, 64, 4, 24, 64
+#: Sizes of sets grow by this factor from class to class in the join on rare shingles.
+STEP = 1.05
 BATCH_ROWS = 1000
 SLICE = 512
 _factors = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,15 +56,15 @@ def shingles(text: str | None) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(joined[a:b]) for a, b in zip(starts, ends[WIDTH - 1 :].tolist())), np.uint64, len(starts))
 
 
-def prints(text: str | None) -> tuple[int, list[int]]:
-    """The SimHash fingerprint and the keys of the bands."""
-    hashes = shingles(text)
+def prints(text: str | None) -> tuple[int, int, list[int]]:
+    """The SimHash fingerprint of the set of shingles, its size, and the keys of the bands."""
+    hashes = np.unique(shingles(text))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), SLICE):
         least = np.minimum(least, (hashes[k : k + SLICE, None] * _factors).min(axis=0))
     keys = [xxhash.xxh64_intdigest(row.tobytes()) for row in least.reshape(BANDS, ROWS)]
     fp = np.array([majority(hashes[k : k + (1 << 16)] for k in range(0, len(hashes), 1 << 16))], np.uint64)
-    return int(fp.view(np.int64)[0]), np.array(keys, np.uint64).view(np.int64).tolist()
+    return int(fp.view(np.int64)[0]), len(hashes), np.array(keys, np.uint64).view(np.int64).tolist()
 
 
 @lru_cache(maxsize=128)
@@ -72,9 +80,14 @@ def alike(one: str, other: str) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-@F.pandas_udf(StructType([StructField("fp", LongType()), StructField("bands", ArrayType(LongType()))]))
+@F.pandas_udf(StructType([StructField("fp", LongType()), StructField("size", LongType()), StructField("bands", ArrayType(LongType()))]))
 def _prints(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([prints(t) for t in texts], columns=["fp", "bands"])
+    return pd.DataFrame([prints(t) for t in texts], columns=["fp", "size", "bands"])
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _shingle_sets(texts: pd.Series) -> pd.Series:
+    return pd.Series([np.unique(shingles(t)).view(np.int64).tolist() for t in texts], dtype=object)
 
 
 @F.pandas_udf(BooleanType())
@@ -106,13 +119,54 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
 
 
 def _close(pairs: DataFrame) -> DataFrame:
-    """Pairs of structs (node, fp) whose fingerprints can belong to near copies, as nodes."""
-    return pairs.where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= CLOSE_BITS).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    """Pairs of structs (node, fp, size) that can be near copies, as nodes."""
+    a, b = (F.col(f"{x}.size") for x in "ab")
+    alike_sizes = 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    near = (F.least(a, b) < MANY) | (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= CLOSE_BITS)
+    return pairs.where(alike_sizes & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+
+def _size_class(size: Column) -> Column:
+    return F.floor(F.log(size.cast("double")) / math.log(STEP)).cast("int")
+
+
+def crowded_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of structs (a, b) of (b, root) rows that can be alike, all of those that are among them, across classes only.
+
+    The shingles of each set are ordered from the rarest among these texts to the commonest, rows of one text only. Where two sets
+    of sizes x and y are alike, they share o = 80 / 180 (x + y) shingles at least, so the first that they share stands at most at
+    place x - o + 1 of the one and y - o + 1 of the other. A set is so dealt out by its first shingles alone, for each class of sizes
+    that a partner may have by so many of them as the least size of that class allows. Shingles of a single text come first in the
+    order and are not dealt out.
+    """
+    share = PERCENT / (100 + PERCENT)
+    sets = texts.join(placed.select(F.col("b.node").alias("node")), "node", "left_semi").select("node", _shingle_sets("text").alias("set"))
+    each = materialize(sets.select("node", F.explode("set").alias("h")), BATCH_ROWS)
+    shared = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    known = materialize(each.join(shared, "h"))
+    rank = F.row_number().over(Window.partitionBy("b.node").orderBy("n", "h"))
+    common = F.count("*").over(Window.partitionBy("b.node"))
+    placed = placed.select("b", "root", F.col("b.node").alias("node"))
+    ordered = known.join(placed, "node").select("b", "root", "h", (F.col("b.size") - common + rank).alias("at"))
+    least, most = (_size_class(F.greatest(F.col("b.size") * x, F.lit(1))) for x in (F.lit(PERCENT / 100), F.lit(100 / PERCENT)))
+    reach = ordered.where(F.col("at") <= F.col("b.size") - F.ceil(F.col("b.size") * PERCENT / 100) + 1)
+    dealt = reach.select("b", "root", "h", "at", _size_class(F.col("b.size")).alias("own"), F.explode(F.sequence(least - 1, most + 1)).alias("other"))
+    smallest = F.greatest(F.pow(F.lit(STEP), F.col("other") - F.lit(1)), F.col("b.size") * PERCENT / 100)  # of the class, rounding aside
+    dealt = dealt.where(F.col("at") <= F.col("b.size") - F.ceil(share * (F.col("b.size") + smallest) - 1e-6) + 1)
+    key = ["h", "low", "high"]
+    dealt = materialize(dealt.select("b", "root", "own", "h", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+    mixed = dealt.groupBy(*key).agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select(*key)
+    left = materialize(dealt.join(mixed, key))
+    lower, higher = (left.where(F.col("own") == F.col(side)) for side in ("low", "high"))
+    pairs = lower.select(*key, F.col("b").alias("a"), F.col("root").alias("x")).join(higher.select(*key, "b", F.col("root").alias("y")), key)
+    found = materialize(pairs.where("x <> y and (low < high or a.node < b.node)").select("a", "b").distinct())
+    discard(each, known, dealt, left)
+    return found
 
 
 def near_edges(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) that link the near copies among nodes (node, fp, bands), all different."""
-    keys = nodes.select(F.struct("node", "fp").alias("b"), F.posexplode("bands").alias("way", "key"))
+    """Verified pairs (a, b) that link the near copies among nodes (node, fp, size, bands), all different."""
+    keys = nodes.select(F.struct("node", "fp", "size").alias("b"), F.posexplode("bands").alias("way", "key"))
     met = materialize(keys.groupBy("way", "key").agg(F.count("*").alias("n"), F.min("b").alias("a"), F.max("b").alias("b")).where("n > 1"))
     many = materialize(keys.join(met.where("n > 2").select("way", "key", "n", "a"), ["way", "key"]))
     two = met.where("n = 2").select("a", "b")
@@ -138,6 +192,12 @@ def near_edges(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         left = still.where(F.col("n") > PAIRWISE).select("way", "key", "n", "b")
         if left.isEmpty():
             break
+    else:
+        roots = union_components(edges).withColumnRenamed("node", "x")
+        placed = left.join(roots, F.col("b.node") == F.col("x"), "left").select("way", "key", "b", F.coalesce("root", "b.node").alias("root"))
+        mixed = placed.groupBy("way", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        crowd = materialize(placed.join(mixed, ["way", "key"], "left_semi").select("b", "root").distinct())
+        edges = edges.union(_verified(_close(crowded_pairs(crowd, texts)), texts))
     discard(met, many, equal, texts)
     return edges
 
@@ -149,8 +209,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     node = F.xxhash64(text)
     texts = docs.select(node.alias("node"), text.alias("text"))
-    made = materialize(docs.select("doc_id", node.alias("node"), _prints(F.col("text")).alias("p")).select("doc_id", "node", "p.fp", "p.bands"), BATCH_ROWS)
-    nodes = materialize(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    made = materialize(docs.select("doc_id", node.alias("node"), _prints(F.col("text")).alias("p")).select("doc_id", "node", "p.fp", "p.size", "p.bands"), BATCH_ROWS)
+    nodes = materialize(made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands")))
     roots = union_components(near_edges(nodes, texts))
     copies = made.groupBy("node", "doc_id").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "n")
