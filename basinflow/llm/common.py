@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +55,8 @@ def by_text(docs: DataFrame, prepare: Callable[[], Callable[[str | None], tuple]
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_scopes: list[list[str]] = []
+#: Paths of the innermost open discarding(); each thread has its own.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def materialize(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
@@ -62,8 +64,8 @@ def materialize(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     batch in this job; the session's setting is put back."""
     spark = df.sparkSession
     path = scratch(spark, "table")
-    if _scopes:
-        _scopes[-1].append(path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     before = spark.conf.get(ARROW_ROWS)
     try:
         if batch_rows:
@@ -91,11 +93,13 @@ def discard(*made: DataFrame) -> None:
 @contextmanager
 def discarding(spark: SparkSession):
     """Deletes at its end whatever materialize() wrote inside; what outlives it must be written by another name or outside."""
-    _scopes.append([])
+    made: list[str] = []
+    outer = _scope.set(made)
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scope.reset(outer)
+        for path in made:
             _delete(spark, path)
 
 
