@@ -23,8 +23,9 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from basinflow.llm.common import discard, materialize, table
 from basinflow.session import ship
@@ -48,9 +49,9 @@ def integer_vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def block(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    """The vectors of a batch as a matrix of long integers."""
+    """The vectors of a batch as a matrix."""
     column = batch.column(name)
-    return np.asarray(column.flatten(), np.int64).reshape(len(column), -1)
+    return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
 def exact_gram(y: np.ndarray) -> np.ndarray:
@@ -82,23 +83,25 @@ def exact_sum(y: np.ndarray) -> np.ndarray:
     return (y.sum(axis=0) if fits else y.astype(object).sum(axis=0)).astype(object)
 
 
-def total(vectors: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> list[int]:
-    """The sum, over all blocks of vectors, of what a function gives for a block: Python integers, as many for each block. Every task
-    sends its own sum, and Spark adds them; the result is of the function's size."""
+def total(vectors: DataFrame, of: Callable[[np.ndarray], np.ndarray], column: str = "x") -> list:
+    """The sum, over all blocks of vectors, of what a function gives for a block, as many numbers for each: Python integers of long
+    vectors, doubles of double ones. Every task sends its own sum, and Spark adds them; the result is of the function's size."""
     ship(vectors.sparkSession)
+    exact = vectors.schema[column].dataType.elementType == LongType()
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = None
         for batch in batches:
             if batch.num_rows:
-                more = of(block(batch, "x"))
+                more = of(block(batch, column))
                 found = more if found is None else found + more
         if found is not None:
-            values = pa.array([Decimal(int(v)) for v in found], pa.decimal128(38, 0))
+            values = pa.array([Decimal(int(v)) for v in found], pa.decimal128(38, 0)) if exact else pa.array(found, pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found)), pa.int32()), values], ["k", "v"])
 
-    parts = vectors.select("x").mapInArrow(partial, "k int, v decimal(38,0)")
-    return [int(r.v) for r in sorted(parts.groupBy("k").agg(F.sum("v").alias("v")).collect())]
+    parts = vectors.select(column).mapInArrow(partial, f"k int, v {'decimal(38,0)' if exact else 'double'}")
+    rows = sorted(parts.groupBy("k").agg(F.sum("v").alias("v")).collect())
+    return [int(r.v) if exact else r.v for r in rows]
 
 
 def sums(vectors: DataFrame) -> tuple[int, list[int]]:
@@ -206,17 +209,14 @@ def whiten(embeddings: DataFrame, most: int = COMPONENTS) -> DataFrame:
 
 
 def identity_error(whitened: DataFrame) -> float | None:
-    """The largest absolute entry of the covariance of the whitened vectors, over all of them, minus the identity."""
-    first = whitened.select(F.size("whitened")).first()
-    if first is None:
+    """The largest absolute entry of the covariance of the whitened vectors, over all of them, minus the identity; they are centred by
+    their own means first."""
+    found = total(whitened, lambda w: np.append(w.sum(axis=0), len(w)), "whitened")
+    if not found:
         return None
-    pairs = [(i, j) for i in range(first[0]) for j in range(i + 1)]
-
-    def entry(i: int, j: int) -> Column:
-        w = F.col("whitened")
-        return F.abs(F.covar_pop(w[i], w[j]) - F.lit(float(i == j)))
-
-    return whitened.agg(F.greatest(*[entry(i, j) for i, j in pairs], F.lit(0.0)).alias("error")).first()[0]
+    n, mean = found[-1], np.array(found[:-1]) / found[-1]
+    covariance = np.array(total(whitened, lambda w: ((w - mean).T @ (w - mean)).ravel(), "whitened")) / n
+    return float(np.abs(covariance - np.eye(len(mean)).ravel()).max())
 
 
 def op13_embedding_whitening(spark, sf_dir):
