@@ -230,6 +230,88 @@ def library():
     return Tokenizer.from_file(bpe.tokenizer_path())
 
 
+def test_near_copies_of_one_template_just_not_alike(spark):
+    """600 texts of one template in 300 pairs; texts of different pairs share nearly as much as is needed."""
+    rng = np.random.default_rng(21)
+    base, rows = [f"w{k}" for k in range(177)], []
+    for k in range(300):
+        own = [f"own{k}x{i}" for i in range(23)]
+        words = base + own
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "other"]))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows[:4] for w in [t.split()]]
+    share = lambda a, b: len(a & b) / len(a | b)
+    assert share(sets[0], sets[1]) > 0.8 > share(sets[0], sets[2]) > 0.75 and share(sets[1], sets[3]) < 0.8
+    docs = spark.createDataFrame([rows[k] for k in rng.permutation(600)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one_of_each(docs).collect()) == list(range(0, 600, 2))
+
+
+def test_near_copies_with_repeated_words(spark):
+    words = [f"w{k}" for k in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + words[:20] * 60)), (3, "a b c d e f g h"), (4, "a b c d e f g h i"), (5, "a b c d e f g h i j k")]
+    kept = {r.doc_id for r in near_copies.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {1, 3, 5}  # 8 and 9 words: 4 of 5 shingles; 9 and 11: 5 of 7
+
+
+def test_crowded_pairs_miss_none_and_are_few(spark):
+    rng = np.random.default_rng(22)
+    base, rows = [f"w{k}" for k in range(300)], []
+    for k in range(120):
+        a, b = sorted(rng.choice(300, 2, replace=False))
+        words = base[: int(rng.integers(120, 300))]
+        words[int(rng.integers(0, 100)) :][:0] = []
+        for at in rng.choice(len(words), int(rng.integers(0, 5)), replace=False):
+            words[at] = f"x{rng.integers(0, 40)}"
+        rows.append((k, " ".join(words)))
+    sets = [set(near_copies.shingles(t).tolist()) for _, t in rows]
+    true = {(i, j) for i in range(120) for j in range(i + 1, 120) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    texts = spark.createDataFrame(rows, "node long, text string")
+    placed = spark.createDataFrame([((k, 0, len(sets[k])), k) for k in range(120)], "b struct<node: long, fp: long, size: long>, root long")
+    found = {tuple(sorted((r.a.node, r.b.node))) for r in near_copies.crowded_pairs(placed, texts).collect()}
+    assert true <= found and len(true) > 300
+
+
+def test_near_copies_recall_at_the_limit(spark):
+    """Pairs of similarity 0.8 to 0.9 against brute force: at least 95 in 100 are found."""
+    rng = np.random.default_rng(23)
+    rows, pairs = [], 0
+    for k in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 9000, 150)]
+        other = words + [f"y{x}" for x in rng.integers(0, 9000, int(rng.integers(14, 40)))]
+        one, two = (set(near_copies.shingles(" ".join(x)).tolist()) for x in (words, other))
+        close = 5 * len(one & two) >= 4 * len(one | two)
+        pairs += close
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    kept = near_copies.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert pairs > 200 and 800 - pairs <= kept <= 800 - 0.95 * pairs
+
+
+def test_discarding_is_of_one_thread(spark):
+    from threading import Thread
+
+    from basinflow.llm.common import discarding, materialize
+
+    made = []
+    with discarding(spark):
+        inner = materialize(spark.range(3))
+        other = Thread(target=lambda: made.append(materialize(spark.range(5))))
+        other.start()
+        other.join()
+        assert inner.count() == 3
+    assert made[0].count() == 5
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        spark.read.parquet(inner.inputFiles()[0]).count()
+
+
+def test_simhash_of_awkward_rows(spark, odd, empty):
+    found = simhash.simhash_groups(odd).collect()
+    assert len(found) == len(ODD)
+    prints = {i: brute_fingerprint(t or "") for i, t in ODD if i is not None}
+    components = brute_components(prints)
+    assert {(r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in found if r.doc_id is not None} == {(i, f, components[i]) for i, f in prints.items()}
+    assert next(r.component_id for r in found if r.doc_id is None) == 6  # the text of document 6
+    assert simhash.simhash_groups(empty).count() == 0
+
+
 def test_packing(spark, docs, odd):
     token = library()
     for frame in (docs, odd):
@@ -246,6 +328,10 @@ def test_packing(spark, docs, odd):
             assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
 
 
+def test_packing_of_nothing(spark, empty):
+    assert packing.pack_documents(empty).count() == 0
+
+
 def test_packing_chooses_by_sum_of_squares():
     rng = np.random.default_rng(8)
     for _ in range(200):
@@ -481,8 +567,29 @@ def test_bpe_equals_library(docs):
     assert plain.feed(own.encode("Été in 日本")) + plain.finish() == "été in 日本 "
 
 
-def test_bpe_query(spark, odd):
+def test_bpe_words_are_normalised_once(spark):
+    """Marks after a capital dotted I, which its lower case lets compose anew, and letters that decompose, before and after marks."""
+    import unicodedata
+
+    token, own = library(), bpe.load(bpe.tokenizer_path())
+    marks = [chr(c) for c in range(0x300, 0x370)] + [chr(c) for c in range(0x591, 0x5C8)] + [chr(0x1DC0), "\u20d0", "\u3099"]
+    letters = [chr(c) for c in range(0xC0, 0x3000) if unicodedata.decomposition(chr(c))]
+    made = [f"{a}\u0130{m}{b}" for m in marks for a, b in (("", ""), ("x", "."), ("1", "y"), ("", "\u0307"))]
+    rng = np.random.default_rng(9)
+    made += [f"{x}{m} ,{x}{m}! {m}{x}" for x in letters for m in rng.choice(marks, 2)]
+    made += ["".join(rng.choice(["\u0130", "i", "a", "\u00e9", ",", "1", *marks[:40]], 6)) for _ in range(3000)]
+    for _ in range(2):  # the second time from memory
+        for text in made:
+            assert own.encode(text).tolist() == token.encode(text, add_special_tokens=False).ids, ascii(text)
+    rows = spark.createDataFrame([(1, "\u0130\u0324"), (2, "\u0130\u05b8.")], "doc_id long, text string")
+    for r in packing.pack_documents(rows).collect():
+        ids = token.encode(rows.where(f"doc_id = {r.doc_id}").first().text, add_special_tokens=False).ids
+        assert r.ids_crc32 == zlib.crc32(np.array([*ids, 2], "<u4")[r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids) + 1
+
+
+def test_bpe_query(spark, odd, empty):
     token = library()
+    assert bpe.round_trip_digests(empty).count() == 0
     for r in bpe.round_trip_digests(odd).collect():
         possible = {t or "" for i, t in ODD if i == r.doc_id}
         assert r.ids_sha256 in {hashlib.sha256(np.array(token.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for t in possible}
@@ -620,4 +727,4 @@ def test_pipeline_equals_brute_force(spark, docs):
 def test_every_query_is_registered():
     from basinflow.llm.queries import QUERIES
 
-    assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES] == list(range(1, 14))
