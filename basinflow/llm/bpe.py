@@ -34,7 +34,7 @@ WORD_END = "</w>"
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
 #: Pieces and words of up to so many bytes are remembered, so many at most in each of two generations; what is read at once.
-MEMO_BYTES, MEMO_PIECES, PORTION = 32, 1 << 19, 1 << 16
+MEMO_BYTES, MEMO_PIECES, PORTION = 32, 1 << 18, 1 << 16
 SHORT_BYTES, NONE = 32, 1 << 40
 
 

@@ -169,10 +169,15 @@ class CrossParser:
         return out
 
 
-@lru_cache(maxsize=2)
+_parser: dict[tuple, CrossParser] = {}
+
+
 def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
-    """One set of automata for each Python worker."""
-    return CrossParser(samples)
+    """One set of automata for each Python worker; that of other samples goes before a new one is built."""
+    if samples not in _parser:
+        _parser.clear()
+        _parser[samples] = CrossParser(samples)
+    return _parser[samples]
 
 
 def held_out() -> F.Column:
