@@ -26,7 +26,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from basinflow.llm.common import by_text
+from basinflow.llm.common import by_text, give_back
 
 TOKENIZER = "word_bpe_49k.json"
 WORD_END = "</w>"
@@ -93,6 +93,11 @@ class StreamingBpe:
         self.memo, self.older = {}, {}
         self.path, self.library = path, None
 
+    def forget(self) -> None:
+        """Drop what is remembered: between tasks it would only take the place of other work's memory."""
+        self.memo, self.older = {}, {}
+        give_back()
+
     def _sufficient_lookahead(self) -> int:
         """Bytes to the right of a token that can decide it, over all chains of earlier merges that could take its last part."""
         size = [len(s.removesuffix(WORD_END)) for s in self.strings]
@@ -294,7 +299,7 @@ def round_trip_digests(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
 
         return digests
 
-    return by_text(docs, prepare, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return by_text(docs, prepare, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: load(tokenizer_path(name)).forget())
 
 
 def op9_bpe(spark, sf_dir):

@@ -36,9 +36,14 @@ def portions(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
             yield batch.slice(at, rows)
 
 
-def by_text(docs: DataFrame, prepare: Callable[[], Callable[[str | None], tuple]], fields: str) -> DataFrame:
+def give_back() -> None:
+    """At a task's end: memory that Arrow keeps for later goes back to the system, since a worker that idles counts like a busy one."""
+    pa.default_memory_pool().release_unused()
+
+
+def by_text(docs: DataFrame, prepare: Callable[[], Callable[[str | None], tuple]], fields: str, finish: Callable[[], None] = give_back) -> DataFrame:
     """doc_id and the fields ("name type, ...") that a function gives for each whole text. prepare() makes that function once
-    for each task. One pass without a shuffle; doc_id goes through as it is, null or not."""
+    for each task, and finish() is called at its end. One pass without a shuffle; doc_id goes through as it is, null or not."""
     ship(docs.sparkSession)
     names = ["doc_id", *(part.split()[0] for part in fields.split(", "))]
     schema = f"doc_id long, {fields}"
@@ -49,6 +54,7 @@ def by_text(docs: DataFrame, prepare: Callable[[], Callable[[str | None], tuple]
             found = [of(t.as_py()) for t in batch.column("text")]
             columns = [batch.column("doc_id"), *map(list, zip(*found))] if found else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+        finish()
 
     types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}[part.split()[1]] for part in schema.split(", ")]
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basinflow.llm.common import portions
+from basinflow.llm.common import give_back, portions
 from basinflow.session import ship
 
 SAMPLE_DOCS, SAMPLE_PIECE, SAMPLE_SYMBOLS = 400, 160, 40_000
@@ -237,6 +237,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...] | None = None
             found = parse.classify(batch.column("text").to_pylist())
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
+        give_back()
 
     return docs.mapInArrow(rows, schema)
 

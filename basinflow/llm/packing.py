@@ -152,6 +152,7 @@ def pack_documents(docs: DataFrame, name: str = TOKENIZER) -> DataFrame:
                 found += packer.pack(doc.as_py(), np.append(bpe.encode(text.as_py()), np.uint32(END)))
             yield batch_of(found)
         yield batch_of(list(packer.finish()))
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, SCHEMA)
 
