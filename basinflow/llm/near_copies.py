@@ -21,12 +21,14 @@ looked at to choose between rows that repeat both.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
@@ -36,8 +38,8 @@ from basinflow.session import ship
 
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS, PAIRWISE, ROUNDS, CLOSE_BITS, MANY = 20, 5, 64, 4, 24, 64
-#: Sizes of sets grow by this factor from class to class in the join on rare shingles.
-STEP = 1.05
+#: In the join on rare shingles: sizes of sets grow by this factor from class to class, and shingles are counted in so many cells.
+STEP, CELLS = 1.05, 1 << 18
 BATCH_ROWS = 1000
 SLICE = 512
 _factors = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,11 +87,6 @@ def _prints(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([prints(t) for t in texts], columns=["fp", "size", "bands"])
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _shingle_sets(texts: pd.Series) -> pd.Series:
-    return pd.Series([np.unique(shingles(t)).view(np.int64).tolist() for t in texts], dtype=object)
-
-
 @F.pandas_udf(BooleanType())
 def _alike(ones: pd.Series, others: pd.Series) -> pd.Series:
     return pd.Series([alike(a, b) for a, b in zip(ones, others)], dtype=bool)
@@ -126,41 +123,72 @@ def _close(pairs: DataFrame) -> DataFrame:
     return pairs.where(alike_sizes & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
-def _size_class(size: Column) -> Column:
-    return F.floor(F.log(size.cast("double")) / math.log(STEP)).cast("int")
+def size_class(size: float) -> int:
+    return math.floor(math.log(max(size, 1)) / math.log(STEP))
+
+
+def rarity(crowd: DataFrame) -> np.ndarray:
+    """How many sets of shingles have one in each of CELLS cells: enough to order shingles from rare to common, in a fixed size."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                np.add.at(counts, _cell(np.unique(shingles(text.as_py()))), 1)
+        found = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["cell", "n"])
+
+    found = crowd.select("text").mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.int64) % CELLS
+
+
+def first_shingles(text: str, counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(h, own class, low, high) for the first shingles, in the order of all, by the classes of sizes that a partner may have: as many
+    as the least size of a class allows."""
+    hashes = np.unique(shingles(text))
+    size, own = len(hashes), size_class(len(hashes))
+    ordered = hashes[np.lexsort((hashes, counts[_cell(hashes)]))].view(np.int64).tolist()
+    for other in range(size_class(size * PERCENT / 100) - 1, size_class(size * 100 / PERCENT) + 2):
+        least = max(STEP ** (other - 1), size * PERCENT / 100)  # of the class, rounding aside
+        common = math.ceil(PERCENT / (100 + PERCENT) * (size + least) - 1e-6)
+        for h in ordered[: max(0, size - common + 1)]:
+            yield h, own, min(own, other), max(own, other)
 
 
 def crowded_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of structs (a, b) of (b, root) rows that can be alike, all of those that are among them, across classes only.
 
-    The shingles of each set are ordered from the rarest among these texts to the commonest, rows of one text only. Where two sets
-    of sizes x and y are alike, they share o = 80 / 180 (x + y) shingles at least, so the first that they share stands at most at
-    place x - o + 1 of the one and y - o + 1 of the other. A set is so dealt out by its first shingles alone, for each class of sizes
-    that a partner may have by so many of them as the least size of that class allows. Shingles of a single text come first in the
-    order and are not dealt out.
+    The shingles of all sets have one order, from rare to common among these texts. Where two sets of sizes x and y are alike, they
+    share o = 80 / 180 (x + y) shingles at least, so the first that they share stands at most at place x - o + 1 of the one and
+    y - o + 1 of the other. A set is so dealt out by its first shingles alone.
     """
-    share = PERCENT / (100 + PERCENT)
-    sets = texts.join(placed.select(F.col("b.node").alias("node")), "node", "left_semi").select("node", _shingle_sets("text").alias("set"))
-    each = materialize(sets.select("node", F.explode("set").alias("h")), BATCH_ROWS)
-    shared = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    known = materialize(each.join(shared, "h"))
-    rank = F.row_number().over(Window.partitionBy("b.node").orderBy("n", "h"))
-    common = F.count("*").over(Window.partitionBy("b.node"))
-    placed = placed.select("b", "root", F.col("b.node").alias("node"))
-    ordered = known.join(placed, "node").select("b", "root", "h", (F.col("b.size") - common + rank).alias("at"))
-    least, most = (_size_class(F.greatest(F.col("b.size") * x, F.lit(1))) for x in (F.lit(PERCENT / 100), F.lit(100 / PERCENT)))
-    reach = ordered.where(F.col("at") <= F.col("b.size") - F.ceil(F.col("b.size") * PERCENT / 100) + 1)
-    dealt = reach.select("b", "root", "h", "at", _size_class(F.col("b.size")).alias("own"), F.explode(F.sequence(least - 1, most + 1)).alias("other"))
-    smallest = F.greatest(F.pow(F.lit(STEP), F.col("other") - F.lit(1)), F.col("b.size") * PERCENT / 100)  # of the class, rounding aside
-    dealt = dealt.where(F.col("at") <= F.col("b.size") - F.ceil(share * (F.col("b.size") + smallest) - 1e-6) + 1)
+    crowd = materialize(texts.join(placed.select("b", "root", F.col("b.node").alias("node")), "node").select("b", "root", "text"))
+    counts = crowd.sparkSession.sparkContext.broadcast(rarity(crowd))
     key = ["h", "low", "high"]
-    dealt = materialize(dealt.select("b", "root", "own", "h", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column("text")):
+                found = list(zip(*first_shingles(text.as_py(), counts.value)))
+                if found:
+                    same = batch.slice(k, 1).take(pa.array(np.zeros(len(found[0]), np.int64)))
+                    columns = [same.column("b"), same.column("root"), *(pa.array(c, pa.int64()) for c in found)]
+                    yield pa.RecordBatch.from_arrays(columns, ["b", "root", "h", "own", "low", "high"])
+
+    schema = StructType([*crowd.select("b", "root").schema.fields, *(StructField(c, LongType()) for c in ("h", "own", "low", "high"))])
+    dealt = materialize(crowd.mapInArrow(deal, schema))
     mixed = dealt.groupBy(*key).agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select(*key)
     left = materialize(dealt.join(mixed, key))
     lower, higher = (left.where(F.col("own") == F.col(side)) for side in ("low", "high"))
     pairs = lower.select(*key, F.col("b").alias("a"), F.col("root").alias("x")).join(higher.select(*key, "b", F.col("root").alias("y")), key)
     found = materialize(pairs.where("x <> y and (low < high or a.node < b.node)").select("a", "b").distinct())
-    discard(each, known, dealt, left)
+    discard(crowd, dealt, left)
     return found
 
 
