@@ -37,9 +37,10 @@ from basinflow.llm.simhash import majority, near_fingerprints
 from basinflow.session import ship
 
 WIDTH, PERCENT = 5, 80
-BANDS, ROWS, PAIRWISE, ROUNDS, CLOSE_BITS, MANY = 20, 5, 64, 4, 24, 64
-#: In the join on rare shingles: sizes of sets grow by this factor from class to class, and shingles are counted in so many cells.
-STEP, CELLS = 1.05, 1 << 18
+BANDS, ROWS, PAIRWISE, ROUNDS, CLOSE_BITS, MANY = 20, 5, 64, 2, 24, 64
+#: In the join on rare shingles: sizes of sets grow by this factor from class to class, shingles are counted in so many cells, and
+#: sets are drawn as so many words of bits.
+STEP, CELLS, WORDS = 1.05, 1 << 18, 8
 BATCH_ROWS = 1000
 SLICE = 512
 _factors = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,6 +149,13 @@ def _cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.int64) % CELLS
 
 
+def drawn(text: str) -> list[int]:
+    """WORDS of 64 bits, each bit set if an odd number of shingles falls on it. Sets that differ in d shingles differ in at most d
+    bits."""
+    odd = np.bincount((np.unique(shingles(text)) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def first_shingles(text: str, counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(h, own class, low, high) for the first shingles, in the order of all, by the classes of sizes that a partner may have: as many
     as the least size of a class allows."""
@@ -166,7 +174,8 @@ def crowded_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
 
     The shingles of all sets have one order, from rare to common among these texts. Where two sets of sizes x and y are alike, they
     share o = 80 / 180 (x + y) shingles at least, so the first that they share stands at most at place x - o + 1 of the one and
-    y - o + 1 of the other. A set is so dealt out by its first shingles alone.
+    y - o + 1 of the other. A set is so dealt out by its first shingles alone. They differ in x + y - 2 o shingles at most, and so
+    do the bits that the sets are drawn as.
     """
     crowd = materialize(texts.join(placed.select("b", "root", F.col("b.node").alias("node")), "node").select("b", "root", "text"))
     counts = crowd.sparkSession.sparkContext.broadcast(rarity(crowd))
@@ -178,16 +187,20 @@ def crowded_pairs(placed: DataFrame, texts: DataFrame) -> DataFrame:
                 found = list(zip(*first_shingles(text.as_py(), counts.value)))
                 if found:
                     same = batch.slice(k, 1).take(pa.array(np.zeros(len(found[0]), np.int64)))
-                    columns = [same.column("b"), same.column("root"), *(pa.array(c, pa.int64()) for c in found)]
-                    yield pa.RecordBatch.from_arrays(columns, ["b", "root", "h", "own", "low", "high"])
+                    bits = pa.array([drawn(text.as_py())] * len(found[0]), pa.list_(pa.int64()))
+                    columns = [same.column("b"), same.column("root"), bits, *(pa.array(c, pa.int64()) for c in found)]
+                    yield pa.RecordBatch.from_arrays(columns, ["b", "root", "bits", "h", "own", "low", "high"])
 
-    schema = StructType([*crowd.select("b", "root").schema.fields, *(StructField(c, LongType()) for c in ("h", "own", "low", "high"))])
+    fields = [StructField("bits", ArrayType(LongType())), *(StructField(c, LongType()) for c in ("h", "own", "low", "high"))]
+    schema = StructType([*crowd.select("b", "root").schema.fields, *fields])
     dealt = materialize(crowd.mapInArrow(deal, schema))
     mixed = dealt.groupBy(*key).agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select(*key)
     left = materialize(dealt.join(mixed, key))
     lower, higher = (left.where(F.col("own") == F.col(side)) for side in ("low", "high"))
-    pairs = lower.select(*key, F.col("b").alias("a"), F.col("root").alias("x")).join(higher.select(*key, "b", F.col("root").alias("y")), key)
-    found = materialize(pairs.where("x <> y and (low < high or a.node < b.node)").select("a", "b").distinct())
+    pairs = lower.select(*key, F.col("b").alias("a"), F.col("root").alias("x"), F.col("bits").alias("p")).join(higher.select(*key, "b", F.col("root").alias("y"), F.col("bits").alias("q")), key)
+    differ = sum((F.bit_count(F.col("p")[i].bitwiseXOR(F.col("q")[i])) for i in range(1, WORDS)), F.bit_count(F.col("p")[0].bitwiseXOR(F.col("q")[0])))
+    few = (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("a.size") + F.col("b.size"))
+    found = materialize(pairs.where("x <> y and (low < high or a.node < b.node)").where(few).select("a", "b").distinct())
     discard(crowd, dealt, left)
     return found
 
