@@ -40,7 +40,7 @@ WIDTH, PERCENT = 5, 80
 BANDS, ROWS, PAIRWISE, ROUNDS, CLOSE_BITS, MANY = 20, 5, 64, 2, 24, 64
 #: In the join on rare shingles: sizes of sets grow by this factor from class to class, shingles are counted in so many cells, and
 #: sets are drawn as so many words of bits.
-STEP, CELLS, WORDS = 1.05, 1 << 18, 8
+STEP, CELLS, WORDS = 1.05, 1 << 20, 8
 BATCH_ROWS = 1000
 SLICE = 512
 _factors = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,14 +158,16 @@ def drawn(text: str) -> list[int]:
 
 def first_shingles(text: str, counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """(h, own class, low, high) for the first shingles, in the order of all, by the classes of sizes that a partner may have: as many
-    as the least size of a class allows."""
+    as the least size of a class allows. A shingle that is alone in its cell is in no other set, and left out."""
     hashes = np.unique(shingles(text))
     size, own = len(hashes), size_class(len(hashes))
-    ordered = hashes[np.lexsort((hashes, counts[_cell(hashes)]))].view(np.int64).tolist()
+    found = counts[_cell(hashes)]
+    order = np.lexsort((hashes, found))
+    ordered, alone = hashes[order].view(np.int64).tolist(), int((found == 1).sum())
     for other in range(size_class(size * PERCENT / 100) - 1, size_class(size * 100 / PERCENT) + 2):
         least = max(STEP ** (other - 1), size * PERCENT / 100)  # of the class, rounding aside
         common = math.ceil(PERCENT / (100 + PERCENT) * (size + least) - 1e-6)
-        for h in ordered[: max(0, size - common + 1)]:
+        for h in ordered[alone : max(0, size - common + 1)]:
             yield h, own, min(own, other), max(own, other)
 
 
