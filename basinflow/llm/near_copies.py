@@ -40,7 +40,7 @@ WIDTH, PERCENT = 5, 80
 BANDS, ROWS, PAIRWISE, ROUNDS, CLOSE_BITS, MANY = 20, 5, 64, 2, 24, 64
 #: In the join on rare shingles: sizes of sets grow by this factor from class to class, shingles are counted in so many cells, and
 #: sets are drawn as so many words of bits.
-STEP, CELLS, WORDS = 1.05, 1 << 20, 8
+STEP, CELLS, WORDS = 1.1, 1 << 20, 8
 BATCH_ROWS = 1000
 SLICE = 512
 _factors = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
