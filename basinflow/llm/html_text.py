@@ -4,12 +4,15 @@ A page is cut into blocks at block-level tags. A block is read as hashed tags an
 measures (length, share of link text, place in the page). Both directions of the LSTM pass over all blocks, so that each label
 rests on the whole page. It is fitted here, on TRAIN_PAGES pages chosen by a hash of page_id, towards blocks whose path itself
 names them (an article or main part; menus, headers, footers, asides, forms, adverts, notices, comments); blocks without such
-evidence don't count in fitting. Each page is learned twice, once without its names and telling tags, so that text, links and
-context decide where a page names nothing. Fitting is deterministic. Inference keeps no trace and takes pages of like length
-together, CELLS blocks with padding at a time.
+evidence don't count in fitting. Each page is learned as it is, without its names and telling tags (text, links and context decide
+where a page names nothing), and in other shapes, SHAPES in all however few pages there are: main text in other places and as
+headings, lists, tables, code or a few words, other blocks dropped, moved and under made-up names, so that no one template is
+learned. Fitting is deterministic. Inference keeps no trace and takes pages of like length together, CELLS blocks with padding at a
+time.
 
 Defined cases: null or empty html gives an empty text; a page without a block of main text too; repeated rows get equal rows; a
-null page_id or url is carried along; without any page there is nothing to fit and no rows. Other columns are not looked at.
+null page_id or url is carried along; without any page there is nothing to fit and no rows. Other columns are not looked at, whatever
+their names. Tags at any depth count: below NAMED levels a path still takes every name that changes what it gives evidence of.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from pyspark.sql import functions as F
 from basinflow.llm.common import portions
 from basinflow.session import ship
 
-TRAIN_PAGES, EPOCHS, BATCH_PAGES, RATE = 192, 24, 16, 0.02
+TRAIN_PAGES, SHAPES, EPOCHS, BATCH_PAGES, RATE, DECAY = 192, 1920, 12, 16, 0.02, 0.03
 #: Pages labelled by one call, and padded blocks at a time.
 TOGETHER, CELLS = 256, 1 << 14
-PATH_WIDTH, WORD_WIDTH, MEASURES, HIDDEN = 48, 24, 6, 12
+PATH_WIDTH, WORD_WIDTH, MEASURES, HIDDEN = 96, 24, 6, 16
 WIDTH = PATH_WIDTH + WORD_WIDTH + MEASURES
 
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "select")
@@ -49,8 +52,8 @@ MARKUP = re.compile(
     re.S | re.I,
 )
 NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))""", re.I)
-#: Levels that a path names.
-DEPTH = 64
+#: Levels whose tags and names a path holds in full; below them, only names that change its evidence.
+NAMED = 64
 MAIN = frozenset("article main".split())
 ASIDE_TAGS = frozenset("nav header footer aside form head title button dialog menu".split())
 ASIDE_NAMES = re.compile(
@@ -59,9 +62,9 @@ ASIDE_NAMES = re.compile(
 )
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
+def blocks(page: str | None) -> list[Block]:
     """(path, text, link characters) of each block with text, in page order. A path names tags and classes from the root down."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
+    out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []  # tags and their paths
     opened: Counter[str] = Counter()
     parts: list[str] = []
@@ -113,8 +116,11 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             pop()
         if tag not in VOID and not match[4].rstrip().endswith("/"):
             path = stack[-1][1] if stack else ()
-            if len(stack) < DEPTH:
-                path = (*path, tag, *(x for m in NAMES.finditer(match[4]) for names in m.groups() if names for x in names.split()))
+            names = (tag, *(x for m in NAMES.finditer(match[4]) for group in m.groups() if group for x in group.split()))
+            if len(stack) < NAMED:
+                path = (*path, *names)
+            elif (telling := tuple(x for x in names if x in MAIN or aside(x))) and evidence(path + telling) != evidence(path):
+                path += telling
             stack.append((tag, path))
             opened[tag] += 1
     add(page[at:])
@@ -122,9 +128,13 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     return out
 
 
+def aside(name: str) -> bool:
+    return name in ASIDE_TAGS or ASIDE_NAMES.search(name) is not None
+
+
 def evidence(path: tuple[str, ...]) -> int:
     """1: main text by its path; 0: not; -1: the path doesn't say."""
-    if any(x in ASIDE_TAGS or ASIDE_NAMES.search(x) for x in path):
+    if any(map(aside, path)):
         return 0
     return 1 if any(x in MAIN for x in path) else -1
 
@@ -133,11 +143,84 @@ def evidence(path: tuple[str, ...]) -> int:
 NEUTRAL = frozenset("html body div section p ul ol li h1 h2 h3 h4 h5 h6 table tbody thead tr td th dl dt dd blockquote pre figure figcaption".split())
 
 
-def unnamed(page: list[tuple[tuple[str, ...], str, int]]) -> list[tuple[tuple[str, ...], str, int]]:
+def unnamed(page: list[Block]) -> list[Block]:
     """The page with neutral tags alone in its paths."""
     return [(tuple(x for x in path if x in NEUTRAL), text, links) for path, text, links in page]
 
 
+#: Shapes of varied copies: where main text and other blocks stand and how paths of main text end. A ? is a made-up name.
+MAIN_PLACES = (("article",), ("article", "?"), ("main",), ("main", "div"), ("main", "article"), ("div", "?", "article"), ("div", "?"), ("div",))
+MAIN_ENDS = (
+    ("p",), ("p",), ("p",), ("h2",), ("h3",), ("ul", "li"), ("ul", "?", "li"), ("ol", "li"), ("table", "tr", "td"), ("table", "tbody", "tr", "th"), ("pre",),
+    ("blockquote",), ("blockquote", "p"), ("dl", "dt"), ("dl", "dd"), ("section", "p"), ("div",), ("div", "?", "p"), ("figure", "figcaption"),
+)
+OTHER_PLACES = (
+    ("nav",), ("nav", "ul", "li"), ("header",), ("header", "div", "?"), ("footer",), ("footer", "p"), ("aside", "p"), ("aside", "ul", "li"), ("form",), ("div", "ad"), ("div", "sidebar", "ul", "li"),
+    ("div", "comments"), ("section", "comments", "p"), ("div", "related", "li"), ("div", "cookie-notice"), ("div", "?"), ("div", "?", "p"), ("section", "?", "p"), ("ul", "?", "li"), ("div", "?", "ul", "li"), ("p",),
+)
+Block = tuple[tuple[str, ...], str, int]
+
+
+def varied(page: list[Block], marks: list[int], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
+    """The page's marked blocks in another shape, with their marks.
+
+    Only where the place names main text do blocks shrink to a few words, texts of any two blocks change places, and passages of
+    main text turn up outside as comments.
+    """
+    draw = lambda options: options[rng.integers(len(options))]
+    named = lambda path: tuple(f"{rng.integers(1 << 40):x}" if x == "?" else x for x in path)
+    few = lambda text, n: " ".join(text.split()[:n])
+    root = ("html", "body") if rng.random() < 0.8 else ()
+    place = (*root, *named(draw(MAIN_PLACES)))
+    told = evidence(place) == 1
+    brief = 0.6 if told and rng.random() < 0.5 else 0.0
+    main = [k for k, mark in enumerate(marks) if mark == 1]
+    others = [block for block, mark in zip(page, marks) if mark == 0]
+    if rng.random() < 0.5:  # a short page
+        first = int(rng.integers(max(1, len(main))))
+        main = main[first : first + int(rng.integers(1, 7))]
+    kept, last = frozenset(main), max(main, default=-1)
+    out: list[tuple[Block, int]] = []
+
+    def elsewhere(blocks: list[Block], inside: tuple[str, ...] = ()) -> None:
+        """Blocks that are not main text, together in one other place."""
+        where = named(draw(OTHER_PLACES))
+        if inside or not told:
+            while evidence(where) != 0 and (inside or rng.random() < 0.5):
+                where = named(draw(OTHER_PLACES))
+        out.extend((((*(inside or root), *where), text, links), 0) for _, text, links in blocks)
+
+    end, at = ("p",), 0
+    while at < len(page):
+        path, text, links = page[at]
+        run = at + 1
+        if marks[at] == 1:
+            if at in kept:
+                if rng.random() < 0.4:
+                    end = named(draw(MAIN_ENDS))
+                if rng.random() < brief:
+                    text = few(text, int(rng.integers(1, 5)))
+                elif rng.random() < 0.15:
+                    text = re.split(r"(?<=[.!?])\s", text, maxsplit=1)[0]
+                out.append((((*place, *end), text, min(links, len(text))), 1))
+                if others and told and rng.random() < 0.06:
+                    elsewhere([draw(others)], place)
+        elif marks[at] == 0:
+            while run < len(page) and marks[run] == 0 and page[run][0] == path:
+                run += 1
+            if "head" in path:
+                out.append((page[at], 0))
+            elif rng.random() < 0.75:
+                elsewhere(page[at:run])
+        if at == last and told and rng.random() < 0.5:  # readers' comments
+            elsewhere([((), few(page[draw(main)][1], int(rng.integers(1, 25))), 0) for _ in range(rng.integers(1, 6))])
+        at = run
+    if told and rng.random() < 0.5:
+        texts = [block[1:] for block, _ in out]
+        out = [((path, *(draw(texts) if rng.random() < 0.5 else rest)), mark) for (path, *rest), mark in out]
+    return [block for block, _ in out], [mark for _, mark in out]
+
+
 def _hashed(items, width: int) -> np.ndarray:
     out = np.zeros(width, np.float32)
     for item in items:
@@ -146,18 +229,18 @@ def _hashed(items, width: int) -> np.ndarray:
     return out / max(1.0, float(np.sqrt((out * out).sum())))
 
 
-def features(page: list[tuple[tuple[str, ...], str, int]], memo: dict) -> np.ndarray:
+def features(page: list[Block], memo: dict) -> np.ndarray:
     out = np.zeros((len(page), WIDTH), np.float32)
     for k, (path, text, links) in enumerate(page):
         if path not in memo:
             if len(memo) > 10_000:
                 memo.clear()
-            memo[path] = _hashed(path, PATH_WIDTH)
+            memo[path] = _hashed(dict.fromkeys(path), PATH_WIDTH)
         words = text.split()
         out[k, :PATH_WIDTH] = memo[path]
         out[k, PATH_WIDTH : PATH_WIDTH + WORD_WIDTH] = _hashed(words, WORD_WIDTH)
         out[k, -MEASURES:] = (
-            np.log1p(len(text)) / 8, links / len(text), np.log1p(len(words)) / 6, sum(map(text.count, ".!?;")) / (1 + len(words)), (k + 1) / (len(page) + 1), len(path) / 16,
+            np.log1p(len(text)) / 8, links / len(text), np.log1p(len(words)) / 6, min(1.0, sum(map(text.count, ".!?;")) / (1 + len(words))), (k + 1) / (len(page) + 1), min(len(path), 16) / 16,
         )
     return out
 
@@ -228,12 +311,13 @@ class BlockLabeller:
         return grads
 
     def fit(self, pages: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Adam over batches of pages of like length."""
+        """Adam over batches of pages of like length, at a rate that falls to nothing, with weights drawn towards zero."""
         pages = sorted((p for p in pages if len(p[0])), key=lambda p: len(p[0]))
         groups = [padded(pages[k : k + BATCH_PAGES]) for k in range(0, len(pages), BATCH_PAGES)]
         mean = {n: np.zeros_like(v) for n, v in self.w.items()}
         square = {n: np.zeros_like(v) for n, v in self.w.items()}
         rng, step = np.random.default_rng(11), 0
+        steps = EPOCHS * len(groups)
         for _ in range(EPOCHS):
             for k in rng.permutation(len(groups)):
                 step += 1
@@ -241,7 +325,7 @@ class BlockLabeller:
                     mean[name] = 0.9 * mean[name] + 0.1 * grad
                     square[name] = 0.99 * square[name] + 0.01 * grad * grad
                     change = (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-8)
-                    self.w[name] = (self.w[name] - RATE * change).astype(np.float32)
+                    self.w[name] = (self.w[name] - RATE * (1 - step / (steps + 1)) * (change + DECAY * self.w[name])).astype(np.float32)
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """Whether each block of each page is main text; pages of like length go together."""
@@ -284,8 +368,12 @@ def fit_labeller(pages: DataFrame) -> dict[str, np.ndarray]:
     memo: dict = {}
     cut = [blocks(r["html"]) for r in some]
     labeller = BlockLabeller()
-    labels = [np.array([evidence(path) for path, _, _ in page]) for page in cut]
-    labeller.fit([(features(way(page), memo), marks) for page, marks in zip(cut, labels) for way in (list, unnamed)])
+    rng, copies = np.random.default_rng(13), -(-SHAPES // len(cut)) - 2
+    shapes: list[tuple[list[Block], list[int]]] = []
+    for page in cut:
+        marks = [evidence(path) for path, _, _ in page]
+        shapes += [(page, marks), (unnamed(page), marks), *(varied(page, marks, rng) for _ in range(copies))]
+    labeller.fit([(features(page, memo), np.array(marks)) for page, marks in shapes])
     return labeller.w
 
 

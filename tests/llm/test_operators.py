@@ -643,6 +643,67 @@ def test_html_without_telling_names(spark):
     assert right.mean() > 0.9
 
 
+#: Pages laid out as none of the given ones is, and their main text.
+SHAPES = {
+    "short blocks": (
+        "<nav><a href=/>Home</a></nav><article><h1>Title here</h1><p>Short.</p><ul><li>one</li><li>two</li></ul><pre>x = 1</pre><table><tr><td>12</td><td>13</td></tr></table><p>End.</p></article><footer>Contact us</footer>",
+        "Title here|Short.|one|two|x = 1|12|13|End.",
+    ),
+    "comments under an unknown name": (
+        "<div class=top><a href=/>Start</a></div><article><h1>A day at the river</h1><p>The water rose in the night, and by the morning the road was gone.</p><p>Nobody was hurt.</p></article>"
+        "<div class='reactions'><p>Great read, thank you!</p><p>I was there too, it was frightening.</p></div><footer>&copy; 2020</footer>",
+        "A day at the river|The water rose in the night, and by the morning the road was gone.|Nobody was hurt.",
+    ),
+    "lists in main": (
+        "<header><a href=/>Site</a></header><main><h1>How to bake bread</h1><h2>You need</h2><ul><li>flour</li><li>water</li><li>salt</li></ul><h2>Steps</h2><ol><li>Mix all of it.</li><li>Wait for an hour.</li></ol></main>"
+        "<aside><p>Our new book is out now.</p></aside><footer><p>Imprint</p></footer>",
+        "How to bake bread|You need|flour|water|salt|Steps|Mix all of it.|Wait for an hour.",
+    ),
+    "a table": (
+        "<div id=menu><ul><li><a href=a>News</a></li><li><a href=b>Sport</a></li></ul></div><article><h1>Results</h1><table><tbody><tr><th>Team</th><th>Points</th></tr><tr><td>Reds</td><td>12</td></tr></tbody></table>"
+        "<p>The final is on Sunday.</p></article><div class=newsletter><form>Your address <button>Sign up</button></form></div>",
+        "Results|Team|Points|Reds|12|The final is on Sunday.",
+    ),
+    "advert and comments inside the article": (
+        "<nav>Home</nav><article><h1>Old bridges</h1><p>The bridge was built of stone.</p><div class=ad>Buy one, get one free</div><p>It still stands.</p><section class=comments><p>Nice!</p><p>I like bridges.</p></section></article>",
+        "Old bridges|The bridge was built of stone.|It still stands.",
+    ),
+    "links as main text": (
+        "<div class=masthead><a href=/>The Post</a></div><main><article><h1>Further reading</h1><p><a href=x>The first volume of letters</a></p><p><a href=y>The second volume of letters</a></p><blockquote>So it goes.</blockquote></article></main><div class=promo>Subscribe today</div>",
+        "Further reading|The first volume of letters|The second volume of letters|So it goes.",
+    ),
+    "a deep article": ("<div>" * 70 + "<article><h1>Deep</h1><p>Text in the deep.</p></article><nav>Up</nav>", "Deep|Text in the deep."),
+}
+
+
+def test_html_other_shapes(spark):
+    weights = html_text.fit_labeller(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    rows = [(k, name, f"<html><body>{page}</body></html>", "clash", -1) for k, (name, (page, _)) in enumerate(SHAPES.items())]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    found = {r.url: r.text for r in html_text.extract_main_text(pages, weights).collect()}
+    assert found == {name: main.replace("|", "\n\n") for name, (_, main) in SHAPES.items()}
+    unseen = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id % 2 = 1")
+    raw = {r.page_id: r.html for r in unseen.collect()}
+    for r in html_text.extract_main_text(unseen, weights).collect():
+        assert r.text == "\n\n".join(t for path, t, _ in html_text.blocks(raw[r.page_id]) if "article" in path)
+
+
+def test_html_varied_copies_keep_their_marks(spark):
+    rng = np.random.default_rng(3)
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        page = html_text.blocks(r.html)
+        copy, marks = html_text.varied(page, [html_text.evidence(path) for path, _, _ in page], rng)
+        assert len(copy) == len(marks) and all(html_text.evidence(path) in (mark, -1) for (path, _, _), mark in zip(copy, marks))
+        assert all(0 <= links <= len(text) for _, text, links in copy)
+    assert html_text.varied([], [], rng) == ([], []) and html_text.varied([(("p",), "a", 0)], [-1], rng) == ([], [])
+
+
+def test_html_names_at_any_depth():
+    deep = lambda inner: html_text.blocks("<div class=a>" * 5_000 + inner)[0][0]
+    assert html_text.evidence(deep("<section><p>x")) == -1 and html_text.evidence(deep("<article><div class=b><p>x")) == 1
+    assert html_text.evidence(deep("<article><div class='x-comments'><p>x")) == 0 and len(deep("<nav>" * 3_000 + "x")) < 3 * html_text.NAMED
+
+
 def test_labeller_gradients():
     model = html_text.BlockLabeller()
     model.w = {n: v.astype(np.float64) for n, v in model.w.items()}
