@@ -607,8 +607,17 @@ FRAME_SQL = "select site_id, observation_hour, streamflow_cfs_mean, precipitatio
 SHARE_SQL = "('0x' || substr(md5(site_id || '|' || strftime(observation_hour, '%Y-%m-%d %H:%M:%S')), 1, 7))::bigint % 100"
 query("training_frame", FRAME_SQL, **HOURLY)(lambda m: ml.training_frame(m.hourly()))
 query("split_counts", f"select {SHARE_SQL} < 20 as is_test, count(*) as n_rows from frame group by 1", **HOURLY, frame=FRAME_SQL)(lambda m: ml.training_frame(m.hourly()).groupBy(ml.in_test().alias("is_test")).agg(F.count("*").alias("n_rows")))
+
+
+def _stored_frame(m) -> DataFrame:
+    """The frame, written once: fits read it several times."""
+    path = scratch(m.spark, "frame")
+    ml.training_frame(m.hourly()).write.parquet(path)
+    return m.spark.read.parquet(path)
+
+
 query("rf_predictions")(lambda m: ml.predictions(ml.training_frame(m.hourly())))
-query("param_search")(lambda m: ml.param_search(ml.training_frame(m.hourly())))
+query("param_search")(lambda m: ml.param_search(_stored_frame(m)))
 
 
 @query(
@@ -653,9 +662,7 @@ def _(m):
     """A model is fitted and stored once under two versions, each loaded to score the last day; what was written is read back. Every
     prediction of a forest lies within what it was fitted on. The smallest forest of the parameter grid does for that."""
     root, target, at = scratch(m.spark, "models"), scratch(m.spark, "predictions"), F.lit(NOW).cast("timestamp_ntz")
-    path = scratch(m.spark, "frame")
-    ml.training_frame(m.hourly()).write.parquet(path)
-    frame = m.spark.read.parquet(path)
+    frame = _stored_frame(m)
     model = ml.forest(50, 5).fit(frame)
     low, high = frame.agg(F.min(ml.TARGET), F.max(ml.TARGET)).first()
     recent = features.last_hours(frame, "observation_hour", 24)
