@@ -616,7 +616,7 @@ def _stored_frame(m) -> DataFrame:
     return m.spark.read.parquet(path)
 
 
-query("rf_predictions")(lambda m: ml.predictions(ml.training_frame(m.hourly())))
+query("rf_predictions")(lambda m: ml.predictions(_stored_frame(m)))
 query("param_search")(lambda m: ml.param_search(_stored_frame(m)))
 
 
