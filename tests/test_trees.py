@@ -90,3 +90,14 @@ def test_search_equals_fits_one_by_one_and_takes_few_jobs(spark, noisy):
     for t, d, m in ((50, 20, 1), (100, 5, 5)):
         fitted = ml.forest(t, d, m).fit(noisy.where(~ml.in_test())).transform(noisy.where(ml.in_test()))
         assert abs(ml.regression_metrics(fitted, ml.TARGET, "prediction").first().r2 - found[t, d, m]) < 1e-9
+
+
+def test_jobs_of_a_fit_do_not_grow_with_its_depth(spark, noisy):
+    counts = []
+    for depth in (2, 14):
+        group = f"fit of depth {depth}"
+        spark.sparkContext.setJobGroup(group, group)
+        ml.forest(4, depth).fit(noisy)
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1] < 25
