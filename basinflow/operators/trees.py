@@ -19,7 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasLabelCol, HasPredictionCol, HasSeed
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from basinflow.session import scratch, ship
@@ -67,7 +67,7 @@ class Forest(Estimator, ForestParams):
         shape = measure(dataset, self.getInputCols(), self.getLabelCol(), self.getMaxBins())
         drawn = draws(dataset, shape, self.getNumTrees(), self.getSeed())
         path, depth, least = scratch(spark, "forest"), self.getMaxDepth(), self.getMinInstancesPerNode()
-        drawn.groupBy("tree").applyInPandas(lambda d: _grown(d, shape, depth, least), NODES).write.parquet(path)
+        dealt(drawn, self.getNumTrees()).applyInPandas(lambda d: _grown(d, shape, depth, least), NODES).write.parquet(path)
         return self._copyValues(ForestModel(shape, path))
 
 
@@ -200,6 +200,13 @@ def by_tree(rows: DataFrame, trees: int) -> DataFrame:
     return lists.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "cells")
 
 
+def dealt(drawn: DataFrame, trees: int) -> GroupedData:
+    """Groups by tree, dealt evenly to two tasks a core. By hash some tasks would have several times the trees of others, and Spark
+    puts small partitions together by their bytes, though a tree takes far longer to grow than to read."""
+    tasks = min(trees, 2 * drawn.sparkSession.sparkContext.defaultParallelism)
+    return drawn.withColumn("part", F.col("tree") % tasks).repartitionById(tasks, F.col("part")).groupBy("part", "tree")
+
+
 def prediction(total, trees: int, shape: dict):
     """The mean of trees' summed values; a mean lies within the labels, whatever rounding does."""
     mean = shape["centre"] + total * (2.0 ** (shape["reach"] - VALUE_BITS) / trees)

@@ -101,3 +101,10 @@ def test_jobs_of_a_fit_do_not_grow_with_its_depth(spark, noisy):
         counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert counts[0] == counts[1] < 25
+
+
+def test_trees_are_dealt_evenly_to_tasks(spark, noisy):
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    model = ml.forest(2 * tasks, 3).fit(noisy)
+    grown = spark.read.parquet(model.stages[-1].path).select("tree", F.input_file_name().alias("file")).distinct()
+    assert [r["count"] for r in grown.groupBy("file").count().collect()] == [2] * tasks
